@@ -4,10 +4,11 @@ from __future__ import annotations
 
 from collections.abc import Callable
 
+import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import chat_format, language_id, quality_classifier, quality_rules, secret_scan, sharding
+from granary.llm import bpe, chat_format, decontamination, language_id, quality_classifier, quality_rules, secret_scan, sharding, token_counts
 from granary.session import read_table
 
 
@@ -26,10 +27,19 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.encode(spark, read_table(spark, sf_dir, "documents"), vocabulary)
+
+
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
     return secret_scan.scan_secrets(spark, read_table(spark, sf_dir, "documents"))
 
 
+def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return decontamination.find_leaks(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+
+
 def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
     return sharding.digest(spark, read_table(spark, sf_dir, "documents"))
 
@@ -39,6 +49,10 @@ def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
     return quality_rules.apply_rules(spark, docs, quality_rules.references(spark, docs))
 
 
+def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return token_counts.count_tokens(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+
+
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
     rows = read_table(spark, sf_dir, "conversations").select("conv_id", "turn", "role", "text")
     said = F.lit("</s>[INST] ok [/INST]")
@@ -53,7 +67,20 @@ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1,
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
-    return {f.__name__: f for f in (op1_language_id, op2_quality_classifier, op5_secret_scan, op7_hypergeometric_shards, op8_quality_rules, op10_chat_format)}
+    return {
+        f.__name__: f
+        for f in (
+            op1_language_id,
+            op2_quality_classifier,
+            op4_bpe,
+            op5_secret_scan,
+            op6_string_tiling,
+            op7_hypergeometric_shards,
+            op8_quality_rules,
+            op9_token_counts,
+            op10_chat_format,
+        )
+    }
 
 
 def oracle_sql() -> dict[str, str]:
