@@ -119,31 +119,29 @@ def _difference_column(model: Model):
     return F.arrow_udf(run, ", ".join(f"{f} double" for f in FEATURES))
 
 
-def _take(share: float, *cols: str) -> Column:
-    return F.pmod(F.xxhash64(*cols), F.lit(1 << 30)) < int(min(1.0, share) * (1 << 30))
-
-
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id") -> Model:
     """Learn from the documents that have a label."""
     ship_package(spark)
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label).cast("int")).alias("y"))
-    rows = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).join(marks, "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
+    # Rows are counted and chosen by narrow columns; only the chosen ones, of a bounded number, meet the texts.
     half = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2))  # one half builds dictionaries, the other calibrates
-    known = {(r["y"], r["half"]): (r["n"], r["chunks"]) for r in rows.groupBy("y", half.alias("half")).agg(F.count(F.lit(1)).alias("n"), F.sum(F.ceil(F.octet_length("text") / CHUNK)).alias("chunks")).collect()}
+    narrow = texts.select("id", F.xxhash64("text").alias("hash"), half.alias("half"), F.ceil(F.octet_length("text") / CHUNK).alias("chunks")).join(marks, "id")
+    known = {(r["y"], r["half"]): (r["n"], r["chunks"]) for r in narrow.groupBy("y", "half").agg(F.count(F.lit(1)).alias("n"), F.sum("chunks").alias("chunks")).collect()}
     n = {y: sum(v[0] for k, v in known.items() if k[0] == y) for y in (0, 1)}
     base = n[1] / (n[0] + n[1]) if n[0] + n[1] else 1.0
     pieces = {y: known.get((y, 0), (0, 0))[1] for y in (0, 1)}
     if not all(pieces.values()) or not all(known.get((y, 1)) for y in (0, 1)):
         return Model(b"", b"", base)
-    # Rows enough for the chunks asked for are taken first, then chunks; both by hash.
-    share = F.when(F.col("y") == 1, F.lit(min(1.0, 4 * SAMPLE_CHUNKS / pieces[1]))).otherwise(F.lit(min(1.0, 4 * SAMPLE_CHUNKS / pieces[0])))
-    some = rows.where((half == 0) & (F.pmod(F.xxhash64("text", F.lit(7)), F.lit(1 << 30)) < share * (1 << 30))).select("y", "text")
-    cut = some.mapInArrow(_chunk_batches, "y int, chunk binary")
-    keep = F.when(F.col("y") == 1, F.lit(min(1.0, max(0.25, SAMPLE_CHUNKS / pieces[1])))).otherwise(F.lit(min(1.0, max(0.25, SAMPLE_CHUNKS / pieces[0]))))
-    sample = sorted((r["y"], bytes(r["chunk"])) for r in cut.where(F.pmod(F.xxhash64("chunk"), F.lit(1 << 30)) < keep * (1 << 30)).collect())
-    model = Model(_dictionary([c for y, c in sample if y == 1]), _dictionary([c for y, c in sample if y == 0]), base)
     second = known[(0, 1)][0] + known[(1, 1)][0]
-    used = rows.where((half == 1) & _take(CALIBRATION_ROWS / second, "text", "id")).select("y", _difference_column(model)(F.col("text")).alias("d"))
+    share = F.when(F.col("half") == 1, F.lit(CALIBRATION_ROWS / second)).when(F.col("y") == 1, F.lit(4 * SAMPLE_CHUNKS / pieces[1])).otherwise(F.lit(4 * SAMPLE_CHUNKS / pieces[0]))
+    chosen = narrow.where(F.pmod(F.xxhash64("hash", "id"), F.lit(1 << 30)) < F.least(share, F.lit(1.0)) * (1 << 30)).select("id", "hash", "half", "y").distinct()
+    some = texts.join(F.broadcast(chosen), "id").where(F.xxhash64("text") == F.col("hash"))
+    cut = some.where("half = 0").select("y", "text").mapInArrow(_chunk_batches, "y int, chunk binary")
+    keep = F.when(F.col("y") == 1, F.lit(max(0.25, SAMPLE_CHUNKS / pieces[1]))).otherwise(F.lit(max(0.25, SAMPLE_CHUNKS / pieces[0])))
+    sample = sorted((r["y"], bytes(r["chunk"])) for r in cut.where(F.pmod(F.xxhash64("chunk"), F.lit(1 << 30)) < F.least(keep, F.lit(1.0)) * (1 << 30)).collect())
+    model = Model(_dictionary([c for y, c in sample if y == 1]), _dictionary([c for y, c in sample if y == 0]), base)
+    used = some.where("half = 1").select("y", _difference_column(model)(F.col("text")).alias("d"))
     got = np.array(sorted((r["y"], *r["d"]) for r in used.collect()))
     if len(got) and 0 < got[:, 0].mean() < 1:
         model.weights = fit_logistic(got[:, 1:], got[:, 0])
