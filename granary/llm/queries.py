@@ -8,7 +8,7 @@ import public_tokenizers
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.llm import bpe, chat_format, decontamination, language_id, quality_classifier, quality_rules, secret_scan, sharding, token_counts
+from granary.llm import bpe, chat_format, decontamination, language_id, near_duplicates, quality_classifier, quality_rules, secret_scan, sharding, token_counts
 from granary.session import read_table
 
 
@@ -27,6 +27,10 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
     return found.select("doc_id", quality_classifier.held_out(F.col("doc_id")).alias("held_out"), "score", "predicted")
 
 
+def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
+    return near_duplicates.find(spark, read_table(spark, sf_dir, "documents")).drop("text_md5")
+
+
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
     return bpe.encode(spark, read_table(spark, sf_dir, "documents"), vocabulary)
@@ -66,12 +70,19 @@ UNION ALL SELECT -1, 0, 'user', '</s>[INST] ok [/INST]' UNION ALL SELECT -1, 1,
 """
 
 
+def pipeline(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import corpus_pipeline
+
+    return corpus_pipeline.run(spark, sf_dir)
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         f.__name__: f
         for f in (
             op1_language_id,
             op2_quality_classifier,
+            op3_ngram_jaccard_join,
             op4_bpe,
             op5_secret_scan,
             op6_string_tiling,
@@ -79,6 +90,7 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
             op8_quality_rules,
             op9_token_counts,
             op10_chat_format,
+            pipeline,
         )
     }
 
