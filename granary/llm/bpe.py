@@ -1,21 +1,23 @@
 """Byte-level BPE encoding and decoding.
 
-Texts are cut to pieces by the vocabulary's pattern, and the pieces of a block of documents are numbered, each different one once.
-Spark higher-order functions then fold the ranked merges over the byte array of every distinct piece: each step takes the least rank
-among neighbouring pairs, from a rank map that is a literal of the plan, and joins that pair. The ids of a document are those of its
-pieces in order; decoding looks up the bytes of every id and concatenates them. Nothing is shuffled: a block is one row, of bounded
-size, and goes back to one row per document.
-
-The rank map is a hash table in one array literal: `pair << 17 | merged id` stands at one of two places of the pair (cuckoo hashing).
-
-Defined results: a null text is empty and has no id; repeated rows are rows of their own; only the id and text columns are read; a text
-longer than a block is a block by itself; a piece of more than LONG_PIECE bytes is merged with a heap where it is cut, by the same ranks,
-because the fold is quadratic in a piece's length.
+Texts are cut to pieces by the vocabulary's pattern. The ranked merges are folded over the byte array of every distinct piece: each step
+takes the least rank among neighbouring pairs, from a rank map, and joins that pair. The ids of a document are those of its pieces in
+order; decoding looks up the bytes of every id and concatenates them. Nothing is shuffled.
+
+Two forms give the same rows. `encode` folds in Arrow functions and remembers folded pieces, up to a bound. In `encode_with_expressions`
+the pieces of a block of documents (one row, of bounded size) are numbered and Spark higher-order functions fold them with a rank map
+that is a literal of the plan: a hash table in one array, `pair << 17 | merged id` at one of two places of the pair (cuckoo hashing).
+That form takes about ten times the CPU time (README), so the queries use the first.
+
+Defined results: a null text is empty and has no id; repeated rows are rows of their own; only the id and text columns are read; texts
+are read whole; a piece of more than LONG_PIECE bytes is merged with a heap, by the same ranks, because the fold is quadratic in a
+piece's length.
 """
 
 from __future__ import annotations
 
 import base64
+import hashlib
 import heapq
 from collections.abc import Iterator
 
@@ -28,6 +30,8 @@ from pyspark.sql import types as T
 from granary.session import ship_package
 
 BLOCK_CHARS, LONG_PIECE = 6 << 20, 128
+#: Folded pieces that a task remembers.
+HELD_PIECES = 300_000
 _NONE = 1 << 30
 _MULTIPLIERS = (40503, 60493)
 
@@ -86,12 +90,16 @@ class Vocabulary:
         self.tokens = [b""] * (max(ranks.values()) + 1)
         for token, rank in ranks.items():
             self.tokens[rank] = token
-        table = cuckoo_table(pair_ranks(ranks))
-        self.bits = len(table).bit_length() - 1
-        self.table_text = ",".join(map(str, table))
+        self._ranks = ranks
         self.hex_text = ",".join(t.hex() for t in self.tokens)
 
 
+    def table(self) -> tuple[str, int]:
+        """The rank map as text, and its number of bits."""
+        table = cuckoo_table(pair_ranks(self._ranks))
+        return ",".join(map(str, table)), len(table).bit_length() - 1
+
+
 def _let(value: Column, body) -> Column:
     """body(value), with value computed once."""
     return F.element_at(F.transform(F.array(value), body), 1)
@@ -197,9 +205,94 @@ def _cut_blocks(path: str, pattern: str, first: list[int], id_type: pa.DataType)
     return run
 
 
+def merge(ids: list[int], pairs: dict[int, int]) -> list[int]:
+    """The fold of one piece: the pair of least rank is joined, the leftmost of equal ones, until none has a rank."""
+    if len(ids) > LONG_PIECE:
+        return merge_long(ids, pairs)
+    get = pairs.get
+    found = [get(a << 16 | b, _NONE) for a, b in zip(ids, ids[1:])]
+    while found:
+        best = min(found)
+        if best == _NONE:
+            break
+        i = found.index(best)
+        ids[i] = best
+        del ids[i + 1], found[i]
+        if i < len(found):
+            found[i] = get(best << 16 | ids[i + 1], _NONE)
+        if i:
+            found[i - 1] = get(ids[i - 1] << 16 | best, _NONE)
+    return ids
+
+
+class Encoder:
+    """Ranks of one file, and the pieces folded so far."""
+
+    def __init__(self, path: str, pattern: str):
+        import regex
+
+        self.find = regex.compile(pattern).findall
+        ranks = load_ranks(path)
+        self.pairs = pair_ranks(ranks)
+        self.first = [ranks[bytes([b])] for b in range(256)]
+        self.tokens = {rank: token for token, rank in ranks.items()}
+        self._known: dict[str, tuple[int, str, bytes]] = {}
+
+    def piece(self, word: str) -> tuple[int, str, bytes]:
+        """Number of ids, the ids joined by commas, and the bytes they decode to."""
+        if len(self._known) >= HELD_PIECES:
+            self._known.clear()
+        ids = merge([self.first[b] for b in word.encode("utf-8", "surrogatepass")], self.pairs)
+        out = len(ids), ",".join(map(str, ids)), b"".join([self.tokens[i] for i in ids])
+        if len(word) <= LONG_PIECE:
+            self._known[word] = out
+        return out
+
+    def text(self, text: str | None) -> dict:
+        known, piece = self._known, self.piece
+        parts = [known[w] if w in known else piece(w) for w in self.find(text or "")]
+        ids = ",".join([p[1] for p in parts])
+        return {
+            "n_tokens": sum([p[0] for p in parts]),
+            "ids_sha256": hashlib.sha256(ids.encode()).hexdigest(),
+            "decoded_sha256": hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest(),
+            "token_ids": ids,
+        }
+
+
+_encoders: dict[tuple[str, str], Encoder] = {}
+
+
+def _encode_column(path: str, pattern: str, with_ids: bool):
+    names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids
+    fields = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("token_ids", pa.list_(pa.int32()))] * with_ids)
+
+    def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
+        if (path, pattern) not in _encoders:
+            _encoders[path, pattern] = Encoder(path, pattern)
+        encoder = _encoders[path, pattern]
+        for batch in batches:
+            rows = []
+            for x in batch:
+                row = encoder.text(x.as_py())
+                if with_ids:
+                    row["token_ids"] = np.array(row["token_ids"].split(","), dtype=np.int32) if row["token_ids"] else np.zeros(0, np.int32)
+                rows.append({n: row[n] for n in names})
+            yield pa.array(rows, fields)
+
+    return F.arrow_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)
+
+
 def encode(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, text: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
     """One row per document: id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the decoded bytes), and with
-    `with_ids` the ids themselves."""
+    `with_ids` the ids themselves. The fold runs in Arrow functions."""
+    ship_package(spark)
+    done = _encode_column(vocabulary.path, vocabulary.pattern, with_ids)(F.col(text))
+    return docs.select(F.col(id_col), done.alias("_r")).select(id_col, "_r.*")
+
+
+def encode_with_expressions(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, text: str = "text", id_col: str = "doc_id", with_ids: bool = False) -> DataFrame:
+    """The same rows; the fold and the decoding are Spark higher-order functions."""
     from pyspark.sql.pandas.types import to_arrow_type
 
     ship_package(spark)
@@ -207,7 +300,8 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, text: s
     schema = T.StructType([T.StructField("keys", T.ArrayType(id_type)), T.StructField("pieces", T.ArrayType(T.ArrayType(T.IntegerType()))), T.StructField("words", T.ArrayType(T.ArrayType(T.IntegerType())))])
     cut = _cut_blocks(vocabulary.path, vocabulary.pattern, vocabulary.first, to_arrow_type(id_type))
     blocks = docs.select(id_col, text).mapInArrow(cut, schema)
-    table = F.split(F.lit(vocabulary.table_text), ",").cast("array<bigint>")
+    table_text, bits = vocabulary.table()
+    table = F.split(F.lit(table_text), ",").cast("array<bigint>")
     hexes = F.split(F.lit(vocabulary.hex_text), ",")
 
     def said(e: Column, hexes: Column) -> Column:
@@ -223,7 +317,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, text: s
             F.sha2(F.unhex(F.array_join(F.transform(own, lambda k: F.get(known, k)["hex"]), "")), 256).alias("decoded_sha256"),
         )
 
-    encoded = F.transform(F.array(table), lambda t: F.transform("words", lambda w: fold_merges(w, t, vocabulary.bits)))[0]
+    encoded = F.transform(F.array(table), lambda t: F.transform("words", lambda w: fold_merges(w, t, bits)))[0]
     per_word = F.transform(F.array(hexes), lambda h: F.transform(encoded, lambda e: said(e, h)))[0]
     rows = blocks.select(F.inline(_let(per_word, lambda known: F.transform(F.arrays_zip("keys", "pieces"), lambda z: document(z, known)))))
     out = rows.select(F.col("key").alias(id_col), "n_tokens", F.sha2(F.col("ids").cast("binary"), 256).alias("ids_sha256"), "decoded_sha256", *([F.when(F.col("ids") == "", F.array().cast("array<int>")).otherwise(F.split("ids", ",").cast("array<int>")).alias("token_ids")] if with_ids else []))
