@@ -32,7 +32,7 @@ ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 KINDS = ("assign", "access", "hex", "random")
-RANDOM_P, FDR, SWITCH = 0.001, 0.001, 0.06
+RANDOM_P, FDR = 0.001, 0.001
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = [
@@ -48,6 +48,8 @@ ALPHABETS = [
 _INDEX = [(name, {c: i for i, c in enumerate(chars)}) for name, chars in ALPHABETS]
 _CLASS = {c: k for k, chars in enumerate((_LOWER, _UPPER, _DIGITS, "+/_-")) for c in chars}
 _WITHIN = (26, 26, 10, 4)
+#: How written words, numbers and identifiers go on, from and to lower case, capitals, digits and signs; first characters are even.
+_GOES_ON = ((0.80, 0.12, 0.04, 0.04), (0.60, 0.32, 0.04, 0.04), (0.06, 0.06, 0.80, 0.08), (0.40, 0.25, 0.25, 0.10))
 
 
 def infer_encoding(run: str) -> tuple[str, dict[str, int]] | None:
@@ -104,7 +106,7 @@ def prose_p(run: str, k: int) -> float:
     ratio, before = 0.0, -1
     for c in run:
         cls = _CLASS[c]
-        p = (1 / 4 if before < 0 else 1 - SWITCH if cls == before else SWITCH / 3) / _WITHIN[cls]
+        p = (0.25 if before < 0 else _GOES_ON[before][cls]) / _WITHIN[cls]
         ratio -= math.log(k * p)
         before = cls
     return math.exp(-max(0.0, ratio))
