@@ -38,6 +38,8 @@ BANDS, ROWS = 40, 6
 HASHES = BANDS * ROWS
 STEP, TOLERANCE = 16, 1e-7
 TILE, UNIT_NODES = 512, 1500
+#: Bytes of texts that a tile, and a unit of small clusters, is planned for.
+TILE_BYTES = 16 << 20
 #: Words whose hashes a task remembers, and cells of one dense block of intersections.
 HELD_WORDS, CELLS = 500_000, 4_000_000
 
@@ -259,21 +261,22 @@ def find(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, tex
     ship_package(spark)
     scratch = scratch or Scratch(spark, "near-duplicates")
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
-    with_md5 = plain.select("doc_id", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"), F.arrow_udf(_node_batches, "node binary, bands array<bigint>")(F.col("text")).alias("r"))
-    rows = scratch.write(with_md5.select("doc_id", "text_md5", "r.node", "r.bands"), "documents")
+    with_md5 = plain.select("doc_id", F.octet_length(F.coalesce(F.col("text"), F.lit(""))).cast("long").alias("n_bytes"), F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary")).alias("text_md5"), F.arrow_udf(_node_batches, "node binary, bands array<bigint>")(F.col("text")).alias("r"))
+    rows = scratch.write(with_md5.select("doc_id", "text_md5", "n_bytes", "r.node", "r.bands"), "documents")
     # Bands are equal within a node, so any will do; a row is the node's own if it has the least (doc_id, text_md5).
-    own = F.min(F.struct("doc_id", "text_md5")).alias("own")
-    nodes = scratch.write(rows.groupBy("node").agg(own, F.count(F.lit(1)).alias("docs")).select("node", F.col("own.doc_id").alias("copy_id"), F.col("own.text_md5").alias("own_md5"), "docs"), "nodes")
+    own = F.min(F.struct("doc_id", "text_md5", "n_bytes")).alias("own")
+    nodes = scratch.write(rows.groupBy("node").agg(own, F.count(F.lit(1)).alias("docs")).select("node", F.col("own.doc_id").alias("copy_id"), F.col("own.text_md5").alias("own_md5"), F.col("own.n_bytes").alias("n_bytes"), "docs"), "nodes")
     banded = rows.where("bands is not null").select("node", F.explode("bands").alias("band"))
     hubs = banded.groupBy("band").agg(F.min("node").alias("hub"), F.max("node").alias("far")).where("hub <> far").select("band", "hub")
     edges = banded.join(hubs, "band").where("node <> hub").select(F.col("node").alias("a"), F.col("hub").alias("b")).distinct()
     clusters = components(spark, scratch, edges)
-    # Tiles of clusters; clusters of one tile share units.
-    sizes = clusters.groupBy("label").agg(F.count(F.lit(1)).alias("size"))
-    members = scratch.write(clusters.join(sizes, "label").join(nodes, "node"), "members")
-    total = members.count()
-    units = max(1, -(-total // UNIT_NODES))
-    tiles = F.ceil(F.col("size") / TILE).cast("int")
+    # Tiles of clusters, by nodes and by bytes; clusters of one tile share units.
+    inside = clusters.join(nodes, "node")
+    sizes = inside.groupBy("label").agg(F.count(F.lit(1)).alias("size"), F.sum("n_bytes").alias("bytes"))
+    members = scratch.write(inside.join(sizes, "label"), "members")
+    total = members.agg(F.count(F.lit(1)).alias("n"), F.coalesce(F.sum("n_bytes"), F.lit(0)).alias("bytes")).first()
+    units = max(1, -(-total["n"] // UNIT_NODES), -(-total["bytes"] // TILE_BYTES))
+    tiles = F.greatest(F.ceil(F.col("size") / TILE), F.ceil(F.col("bytes") / TILE_BYTES)).cast("int")
     placed = members.select(F.col("label").alias("cluster"), "node", "copy_id", "own_md5", "docs", tiles.alias("tiles"), F.pmod(F.xxhash64("node"), tiles).cast("int").alias("tile"))
     texts = plain.withColumn("own_md5", F.md5(F.coalesce(F.col("text"), F.lit("")).cast("binary"))).withColumnRenamed("doc_id", "copy_id")
     found = placed.join(texts, [placed["copy_id"].eqNullSafe(texts["copy_id"]), placed["own_md5"] == texts["own_md5"]]).select("cluster", "node", "docs", "tiles", "tile", "text").dropDuplicates(["node"])

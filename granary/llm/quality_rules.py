@@ -28,7 +28,9 @@ from granary.session import Scratch, ship_package
 
 WINDOW = 8
 COMMON_SHARE, MIN_WORDS = 0.002, 50
-CLASS_LIMIT, WORD_LIMIT, ALLOWANCE = 0.25, 0.45, 1.0
+CLASS_LIMIT, WORD_LIMIT = 0.19, 0.34
+#: Sampling allowances, divided by the square root of the number of words.
+CLASS_SLACK, WORD_SLACK = 0.3, 0.9
 #: Words that a task holds before it passes its counts on.
 HELD_WORDS = 200_000
 _SYMBOLS = "#*$%&|<>"
@@ -196,8 +198,8 @@ def verdict(refs: References, words: list[bytes], classes: np.ndarray) -> tuple[
     if len(words) < MIN_WORDS or not refs.languages:
         return True, None, None
     by_class, by_word = divergence(refs, words, classes)
-    slack = ALLOWANCE / np.sqrt(len(words))
-    return bool(by_class <= CLASS_LIMIT + slack and by_word <= WORD_LIMIT + slack), by_class, by_word
+    root = np.sqrt(len(words))
+    return bool(by_class <= CLASS_LIMIT + CLASS_SLACK / root and by_word <= WORD_LIMIT + WORD_SLACK / root), by_class, by_word
 
 
 _NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
