@@ -95,5 +95,21 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     }
 
 
+_ORDER = "ORDER BY turn NULLS FIRST, role, text"
+_ESCAPED = r"regexp_replace({}, '([\[<])(\\*)(/?INST\]|/?s>|</?SYS>>|sep>)', '\1\\\2\3', 'g')".format
+
+OP10_SQL = f"""
+WITH t AS ({_TURNS}),
+w AS (SELECT *, lag(role) OVER o IS DISTINCT FROM role AS opens, lead(role) OVER o IS DISTINCT FROM role AS closes FROM t WINDOW o AS (PARTITION BY conv_id {_ORDER})),
+n AS (SELECT *, length({_ESCAPED("text")})
+  + CASE WHEN NOT opens THEN 5 WHEN role = 'user' THEN 7 WHEN role = 'assistant' THEN 1 ELSE 8 + length({_ESCAPED("replace(replace(role, '%', '%25'), chr(10), '%0A')")}) END
+  + CASE WHEN NOT closes THEN 0 WHEN role = 'user' THEN 8 WHEN role = 'assistant' THEN 5 ELSE 9 END AS chars FROM w)
+SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' {_ORDER})) AS turns_sha256,
+  coalesce(sum(length(text)) FILTER (role = 'assistant'), 0)::bigint AS loss_chars,
+  sha256(coalesce(string_agg(text, '' {_ORDER}) FILTER (role = 'assistant'), '')) AS loss_sha256, sum(chars)::bigint AS formatted_chars
+FROM n GROUP BY conv_id
+"""
+
+
 def oracle_sql() -> dict[str, str]:
-    return {}
+    return {"op10_chat_format": OP10_SQL}

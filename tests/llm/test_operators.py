@@ -492,6 +492,19 @@ def test_chat_round_trip(spark):
     assert chat_format.digest(chat_format.format_conversations(df.limit(0))).count() == 0
 
 
+def test_chat_equals_sql(spark):
+    import duckdb
+
+    from granary.llm import queries
+
+    con = duckdb.connect()
+    con.execute(f"CREATE VIEW conversations AS SELECT * FROM read_parquet('{MEDIUM}/conversations.parquet')")
+    got = queries.op10_chat_format(spark, MEDIUM)
+    want = con.execute(queries.OP10_SQL)
+    assert got.columns == [d[0] for d in want.description]
+    assert sorted(map(tuple, got.collect())) == sorted(want.fetchall())
+
+
 # Pipeline
 
 
