@@ -2,16 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions import text as X
+from granary.session import fresh
 
 
 def cascade_reasons(df: DataFrame, text: str = "text", order: str = "doc_id", min_length: int = 0, max_length: int | None = None, remove_truncated: bool = False, dedupe: bool = False) -> DataFrame:
     """`df` with `reason`: the first test that a row fails (empty, min_length, max_length, truncated, duplicate), or passed.
 
-    A duplicate has a copy before it that passes the other tests.
+    A duplicate has a copy before it, by the order column, that passes the other tests.
     """
     t = F.col(text)
     reason = F.when(X.strip(F.coalesce(t, F.lit(""))) == "", "empty").when(F.length(t) < min_length, "min_length")
@@ -21,9 +22,12 @@ def cascade_reasons(df: DataFrame, text: str = "text", order: str = "doc_id", mi
         reason = reason.when(X.is_truncated(t), "truncated")
     out = df.withColumn("reason", reason)
     if dedupe:
-        # Rows that failed already get partitions of their own, so that a common reason isn't one large group.
-        w = Window.partitionBy("reason", F.sha2(t, 256)).orderBy(order)
-        out = out.withColumn("reason", F.coalesce("reason", F.when(F.row_number().over(w) > 1, "duplicate")))
+        # The first row of each text is an aggregate, so copies of one text meet as a row per task; the join back is left to Spark's
+        # handling of skew. Rows that failed already join nothing.
+        digest, first = fresh(df, "_digest", "_first")
+        out = out.withColumn(digest, F.when(F.col("reason").isNull(), F.sha2(t, 256)))
+        firsts = out.where(F.col(digest).isNotNull()).groupBy(digest).agg(F.min(order).alias(first))
+        out = out.join(firsts, digest, "left").withColumn("reason", F.coalesce("reason", F.when(F.col(order) > F.col(first), "duplicate"))).drop(digest, first)
     return out.withColumn("reason", F.coalesce("reason", F.lit("passed")))
 
 

@@ -9,10 +9,11 @@ from granary.session import fresh
 
 
 def keep_first(df: DataFrame, key: list[Column], order: list[Column], last: bool = False) -> DataFrame:
-    """One row for each key: the first by the order (or the last)."""
-    (n,) = fresh(df, "_n")
-    by = [c.desc() for c in order] if last else order
-    return df.withColumn(n, F.row_number().over(Window.partitionBy(*key).orderBy(*by))).where(F.col(n) == 1).drop(n)
+    """One row for each key: the first by the order (or the last). Aggregated before the shuffle, so a common key is one row per task."""
+    pick = F.max_by if last else F.min_by
+    row, *keys = fresh(df, "_row", *(f"_key{i}" for i in range(len(key))))
+    by = [k.alias(n) for k, n in zip(key, keys)]
+    return df.groupBy(*by).agg(pick(F.struct(*df.columns), F.struct(*order)).alias(row)).select(f"{row}.*")
 
 
 def running_sum(df: DataFrame, order: str, value: Column, name: str, bucket: int = 4096) -> DataFrame:

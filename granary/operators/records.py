@@ -177,6 +177,25 @@ def verify(prompt: Column, text: Column, fields: Column, is_control: Column, hea
     return F.struct((F.size(failed) == 0).alias("ok"), F.concat(failed, F.array_compact(F.array(*soft))).alias("problems"), f1.alias("integration"))
 
 
+def score(prompt: Column, output: Column, calls: Column, fields: Column, wanted: Column, is_control: Column, span_cap: int = 3) -> Column:
+    """Scores of one run. `calls`: array of (name, arguments as JSON text, result text); `wanted`: names of the expected calls."""
+    spans = span_texts(output)
+    capped = F.slice(spans, 1, span_cap)
+    names = F.transform(calls, lambda c: c["name"])
+    eligible = ~is_control & (F.size(names) > 0) & (F.size(F.map_keys(fields)) > 0)
+    private = X.privacy(output)
+    tokens = lambda c: X.estimated_tokens(F.array_join(c, " "))
+    results = F.transform(calls, lambda c: F.coalesce(c["result"], F.lit("")))
+    code = output.rlike(r"\bawait\b|\bimport\b")
+    return F.struct(
+        eligible.alias("eligible"), F.when(eligible, grounding_f1(capped, fields)).alias("integration"), F.size(spans).alias("n_spans"), (F.size(spans) > span_cap).alias("over_cap"),
+        (names == wanted).alias("calls_match"), F.forall(calls, lambda c: F.try_parse_json(c["arguments"]).isNotNull()).alias("args_ok"),
+        (is_control & (F.size(spans) > 0)).alias("control_hit"), private["privacy_ok"].alias("privacy_ok"),
+        (X.estimated_tokens(prompt) + X.estimated_tokens(output) + tokens(results)).alias("tokens_total"), tokens(results).alias("tokens_results"),
+        F.exists(results, lambda r: (F.length(r) > 20) & F.contains(output, r)).alias("leak"), code.alias("used_code"), (~code & (F.size(names) > 0)).alias("used_tools"),
+    )
+
+
 # Changes
 
 

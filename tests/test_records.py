@@ -101,6 +101,14 @@ def test_grounding(spark):
     assert one(spark, "they favor it", R.is_grounded(F.col("x"), F.create_map(F.lit("a"), F.lit("prefer"))))
 
 
+def test_run_scores(spark):
+    calls = [("web.search", '{"q": 1}', "twelve files were found there")]
+    df = spark.createDataFrame([("p", "Integration: found 12 files. Then twelve files were found there", calls, {"n": "12"}, ["web.search"])], "p string, o string, c array<struct<name:string,arguments:string,result:string>>, f map<string,string>, w array<string>")
+    r = df.select(R.score(F.col("p"), F.col("o"), F.col("c"), F.col("f"), F.col("w"), F.lit(False)).alias("s")).first()["s"]
+    assert r["eligible"] and r["calls_match"] and r["args_ok"] and r["leak"] and r["privacy_ok"] and r["used_tools"]
+    assert (r["integration"]["f1"], r["n_spans"], r["over_cap"], r["control_hit"]) == (1.0, 1, False, False)
+
+
 def test_diff(spark):
     diff = "--- a/x.py\t1\n+++ b/x.py\n@@ -1,1 +1,6 @@\n+a\n+b\n+c\n+d\n+e\n+f\n@@ -9,2 +14,2 @@\n-u\n+v\n w"
     rows = spark.createDataFrame([(1, diff), (2, ""), (3, None)], "k int, d string")
