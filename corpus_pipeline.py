@@ -3,7 +3,7 @@
 Each stage takes (spark, docs, sf_dir) and returns a DataFrame; it is written as Parquet and read again as the next stage's `docs`. All
 but the last return the columns of documents.
 
-- language_id: the model learns from the languages that the documents state; texts without a letter, or in which no language has half
+- language_id: the model learns from the languages that the documents state; texts without a letter, or in which no language has two fifths
   of the text, go.
 - near_duplicates: of each class of documents with equal or similar texts, the one of least doc_id stays.
 - decontamination: documents that hold a benchmark item go.
@@ -23,7 +23,7 @@ from granary.llm import bpe, decontamination, language_id, near_duplicates, secr
 from granary.session import Scratch, fresh, read_table
 
 #: Least proportion of the predicted language.
-LEAST_SHARE = 0.5
+LEAST_SHARE = 0.4
 
 
 def keep_known_languages(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
