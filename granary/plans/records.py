@@ -271,3 +271,31 @@ def generated_prompts(spark, sf_dir):
 @query()
 def generated_pairs(spark, sf_dir):
     return N.judged_pairs(spark, 90)
+
+
+def _sources(spark, sf_dir):
+    """Documents as source files: every line a Python comment, with a mark in some."""
+    mark = F.when(F.col("doc_id") % 3 == 0, F.lit("# TODO finish this part\n    pass")).when(F.col("doc_id") % 3 == 1, F.lit("# placeholder for the real thing")).otherwise("# plain words of no weight")
+    return read_table(spark, sf_dir, "documents").select(F.concat(F.lit("f"), F.col("doc_id").cast("string"), F.lit(".py")).alias("path"), F.concat(mark, F.lit("\nx = 1")).alias("text"))
+
+
+@query("SELECT 'py' AS extension, 'high' AS band, count(*) AS n FROM documents WHERE doc_id % 3 < 2")
+def comment_summary(spark, sf_dir):
+    from granary.operators import comments as O
+
+    return O.summary(O.extract(_sources(spark, sf_dir)))
+
+
+@query("SELECT 'f' || doc_id || '.py' AS path, 2 AS line_number, 1 AS at_line FROM documents WHERE doc_id % 3 = 0")
+def stub_attachment(spark, sf_dir):
+    from granary.operators import comments as O
+
+    return O.attach_stubs(_sources(spark, sf_dir))
+
+
+@query()
+def claim_verifiability(spark, sf_dir):
+    from granary.functions import claims as C
+
+    t = F.col("text")
+    return read_table(spark, sf_dir, "benchmark").select("item_id", C.verifiability(t).alias("score"), F.coalesce(C.without_opinion(t), t).alias("rewritten"), F.size(C.ambiguities(t, F.array().cast("array<string>"))).alias("n_ambiguities"), F.round(C.coverage(t, C.elements(t)), 4).alias("own_coverage"))
