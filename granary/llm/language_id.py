@@ -87,16 +87,17 @@ class Model:
         self.log_p = np.log(self.p)
 
 
-def train(spark: SparkSession, labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, text: str = "text", lang: str = "lang") -> Model:
-    """Learn from rows with a text and a language."""
+def train(spark: SparkSession, labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Model:
+    """Learn from rows with a text and a language. The id only spreads copies of one text over the choice of the sample."""
     ship_package(spark)
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
+    chance = F.pmod(F.xxhash64(text, id_col), F.lit(1 << 30))
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), chance.alias("chance")).where("lang is not null and text is not null")
     sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0)))
     share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, rows_per_language / n) * (1 << 30))))])
-    sample = rows.where(F.pmod(F.xxhash64("text"), F.lit(1 << 30)) < share[F.col("lang")])
-    counted = sample.mapInArrow(_train_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
+    sample = rows.where(F.col("chance") < share[F.col("lang")])
+    counted = sample.select("lang", "text").mapInArrow(_train_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(sizes)
     column = {x: i for i, x in enumerate(languages)}
     counts = np.zeros((BUCKETS, len(languages)))
