@@ -32,20 +32,21 @@ def stratified_sample(df: DataFrame, stratum: str, key: str, targets: dict[str,
     """Exactly the target of each stratum: rows by a seeded order; a short stratum is repeated round by round (`copy` counts from 0)."""
     w = Window.partitionBy(stratum).orderBy(seeded(F.col(key), seed), key)
     want = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])
-    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))
-    ranked = df.where(F.col(stratum).isin(*targets)).withColumn("_r", F.row_number().over(w)).join(F.broadcast(sizes), stratum).withColumn("_want", want[F.col(stratum)])
+    df = df.where(F.col(stratum).isin(*targets))
+    sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))  # a row for each target
+    ranked = df.withColumn("_r", F.row_number().over(w)).join(F.broadcast(sizes), stratum).withColumn("_want", want[F.col(stratum)])
     copies = F.when(F.col("_want") >= F.col("_r"), F.floor((F.col("_want") - F.col("_r")) / F.col("_size")) + 1).otherwise(0)
     return ranked.where("_r <= _want").withColumn("copy", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int")))).drop("_r", "_size", "_want")
 
 
 def rebalance(df: DataFrame, label: str, key: str, majority: str, others: dict[str, float], seed: int = 42) -> DataFrame:
     """`df` with `balanced`: rows of the majority label move, in a seeded order, to labels short of their share of all rows."""
-    counts = df.groupBy(label).agg(F.count(F.lit(1)).alias("n"))
-    known = {r[label]: r["n"] for r in counts.collect()}  # a row for each label
-    total = sum(known.values())
-    left, at, moves = known.get(majority, 0), 0, []
+    named = [majority, *others]
+    total, *known = df.agg(F.count(F.lit(1)), *[F.count_if(F.col(label) == x) for x in named]).first()
+    known = dict(zip(named, known))
+    left, at, moves = known[majority], 0, []
     for name, share in others.items():
-        n = max(0, min(left, int(total * share) - known.get(name, 0)))
+        n = max(0, min(left, int(total * share) - known[name]))
         moves.append((name, at, at + n))
         at, left = at + n, left - n
     ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(seeded(F.col(key), seed), key)))

@@ -16,7 +16,7 @@ def keep_first(df: DataFrame, key: list[Column], order: list[Column], last: bool
     return df.groupBy(*by).agg(pick(F.struct(*df.columns), F.struct(*order)).alias(row)).select(f"{row}.*")
 
 
-def running_sum(df: DataFrame, order: str, value: Column, name: str, bucket: int = 4096) -> DataFrame:
+def running_sum(df: DataFrame, order: str, value: Column, name: str, bucket: int = 1 << 20) -> DataFrame:
     """Running sum of `value` by an integer column, in two levels: sums of ranges of the order, then within each range."""
     b, v, base, own = fresh(df, "_bucket", "_value", "_base", "_own")
     df = df.withColumn(b, F.floor(F.col(order) / bucket)).withColumn(v, value)
@@ -27,9 +27,9 @@ def running_sum(df: DataFrame, order: str, value: Column, name: str, bucket: int
     return df.withColumn(own, F.sum(v).over(within)).join(bases, b).withColumn(name, F.col(base) + F.col(own)).drop(b, v, base, own)
 
 
-def exact_ranks(df: DataFrame, order: Column, tie: Column, buckets: int = 64) -> DataFrame:
-    """`df` with `_rank`, from 1 in the given order: ranges of the order are counted first, then ranked within."""
-    b = F.substring(order.cast("string"), 1, 2)
+def exact_ranks(df: DataFrame, order: Column, tie: Column, digits: int = 4) -> DataFrame:
+    """`df` with `_rank`, from 1 in the given order of hex digests: ranges of their first digits are counted, then ranked within."""
+    b = F.substring(order, 1, digits)
     df = df.withColumn("_range", b)
     counts = df.groupBy("_range").agg(F.count(F.lit(1)).alias("_n"))
     before = Window.orderBy("_range").rowsBetween(Window.unboundedPreceding, -1)
