@@ -34,7 +34,8 @@ CATEGORIES = {
 
 
 def strip(c: Column) -> Column:
-    return F.regexp_replace(c, r"^\s+|\s+$", "")
+    """Without blanks, tabs and line ends around; a plain trim, far cheaper than a pattern on long texts."""
+    return F.btrim(c, F.lit(" \t\n\x0b\f\r"))
 
 
 def words(c: Column) -> Column:
