@@ -14,8 +14,9 @@ are one node, so copies are never paired with each other. The join finds all pai
 4. A tile returns sums for each of its nodes (links, and documents behind them) and a spanning forest of the links found, a row for
    each node at most. Sums add up to the number of links; components of the forest are the classes.
 
-Result, one row per document: doc_id, class_id (least doc_id of its class), copy_id (least doc_id of its node), n_links (other nodes
-linked to its node), n_linked_docs (other documents at the threshold or above, copies included).
+Result, one row per document: doc_id, class_key (which class it is in; the least node of the class, in hexadecimal), class_id (least
+doc_id of its class, to be shown: several classes have the same one where ids are null or repeated), copy_id (least doc_id of its
+node), n_links (other nodes linked to its node), n_linked_docs (other documents at the threshold or above, copies included).
 
 Defined results: texts without words (null, empty, blank) are linked with nothing but their exact copies (null counts as empty);
 repeated rows are copies; ids may be null or repeated; only the id and text columns are read; texts are read whole.
@@ -257,7 +258,7 @@ def components(spark: SparkSession, scratch: Scratch, edges: DataFrame, a: str =
 
 
 def find(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
-    """One row per document: doc_id, text_md5, class_id, copy_id, n_links, n_linked_docs."""
+    """One row per document: doc_id, text_md5, class_key, class_id, copy_id, n_links, n_linked_docs."""
     ship_package(spark)
     scratch = scratch or Scratch(spark, "near-duplicates")
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text"))
@@ -289,9 +290,9 @@ def find(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, tex
     sums = linked.groupBy("node").agg(F.sum("links").alias("n_links"), F.sum("linked_docs").alias("linked_docs"))
     classes = components(spark, scratch, linked.select(F.col("node").alias("a"), F.col("root").alias("b")))
     of_class = classes.join(nodes, "node").groupBy("label").agg(F.min("copy_id").alias("class_id"))
-    known = nodes.join(sums, "node", "left").join(classes.join(of_class, "label").select("node", "class_id"), "node", "left")
-    known = known.select("node", "copy_id", F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.coalesce("linked_docs", F.lit(0)) + F.col("docs") - 1).alias("n_linked_docs"))
-    out = scratch.write(rows.drop("bands").join(known, "node").select("doc_id", "text_md5", "class_id", "copy_id", "n_links", "n_linked_docs"), "result")
+    known = nodes.join(sums, "node", "left").join(classes.join(of_class, "label").select("node", "label", "class_id"), "node", "left")
+    known = known.select("node", "copy_id", F.lower(F.hex(F.coalesce("label", "node"))).alias("class_key"), F.coalesce("class_id", "copy_id").alias("class_id"), F.coalesce("n_links", F.lit(0)).alias("n_links"), (F.coalesce("linked_docs", F.lit(0)) + F.col("docs") - 1).alias("n_linked_docs"))
+    out = scratch.write(rows.drop("bands").join(known, "node").select("doc_id", "text_md5", "class_key", "class_id", "copy_id", "n_links", "n_linked_docs"), "result")
     scratch.close(keep=out)
     return out
 
@@ -300,7 +301,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD,
     """`docs` with one document of each class: the one of least (doc_id, MD5 of the text); all columns stay."""
     scratch = Scratch(spark, "one-of-each")
     found = find(spark, docs, threshold, text, id_col)
-    kept = scratch.write(found.groupBy("class_id").agg(F.min(F.struct("doc_id", "text_md5")).alias("own")).select("own.*").distinct(), "kept")
+    kept = scratch.write(found.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_md5")).alias("own")).select("own.*").distinct(), "kept")
     md5, key, left = fresh(docs, "_md5", "_key", "_id")
     marked = docs.withColumn(md5, F.md5(F.coalesce(F.col(text), F.lit("")).cast("binary")))
     kept = kept.select(F.col("doc_id").alias(left), F.col("text_md5").alias(key))

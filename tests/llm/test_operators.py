@@ -174,6 +174,18 @@ def test_join_edges(spark, odd, none):
     assert near_duplicates.keep_one(spark, none).columns == none.columns
 
 
+def test_classes_with_null_or_shared_ids_stay_apart(spark):
+    texts = [prose(200 + i, 60) for i in range(6)]
+    near = texts[0] + " end"
+    docs = spark.createDataFrame([(None, texts[0]), (None, near), (None, texts[1]), (5, texts[2]), (5, texts[3]), (5, texts[4]), (6, texts[4]), (7, texts[5])], "doc_id long, text string")
+    rows = near_duplicates.find(spark, docs).collect()
+    assert len(rows) == 8 and len({r["class_key"] for r in rows}) == 6
+    assert {r["n_links"] for r in rows if r["doc_id"] is not None} == {0}
+    kept = [(r["doc_id"], r["text"]) for r in near_duplicates.keep_one(spark, docs).collect()]
+    assert len(kept) == 6 and sorted(i for i, _ in kept if i is not None) == [5, 5, 5, 7]
+    assert {t for _, t in kept} - {texts[0], near} == set(texts[1:])
+
+
 def test_pruning_bounds_are_lossless_at_threshold():
     least = near_duplicates.least_matches(0.8)
     assert all(a <= b for a, b in zip(least, least[1:]))
