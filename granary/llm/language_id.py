@@ -2,8 +2,9 @@
 
 A document is a bag of character trigrams of its lower-cased letters (other characters are one blank). Each learned language gives
 every trigram bucket a smoothed probability. For a set of languages, expectation-maximisation estimates the document's proportions;
-the set starts with the single best language and grows while the penalised log-likelihood (half a log of the number of trigrams for
-each further language, and one) grows. The language of the largest proportion is predicted; its proportion is the score.
+the set starts with the single best language and takes in languages, or leaves them out again, while the penalised log-likelihood (half
+a log of the number of trigrams for each further language, and one) grows; it may come to hold all learned languages. The language of
+the largest proportion is predicted; its proportion is the score.
 
 Training counts come from a bounded sample: about `rows_per_language` labelled documents of each language, chosen by a hash of all
 labelled rows. The model has at most BUCKETS numbers per language, so it is sent to every task.
@@ -25,7 +26,7 @@ from pyspark.sql import functions as F
 from granary.session import fresh, ship_package
 
 BUCKETS, ROWS_PER_LANGUAGE, SMOOTH = 1 << 15, 10_000, 0.5
-EM_STEPS, TOLERANCE, PENALTY, MAX_SET = 40, 1e-3, 1.0, 3
+EM_STEPS, TOLERANCE, PENALTY = 40, 1e-3, 1.0
 
 
 _classes: np.ndarray | None = None
@@ -106,11 +107,22 @@ def train(spark: SparkSession, labelled: DataFrame, rows_per_language: int = ROW
     return Model(languages, counts)
 
 
+def _fit(q: np.ndarray, weight: np.ndarray, pi: np.ndarray) -> tuple[np.ndarray, float]:
+    """Proportions by EM from a first guess, and their log-likelihood."""
+    total = weight.sum()
+    for _ in range(EM_STEPS):
+        old = pi
+        pi = pi * ((weight / (q @ pi)) @ q) / total
+        if abs(pi - old).max() < TOLERANCE:
+            break
+    return pi, weight @ np.log(q @ pi)
+
+
 def mixture(p: np.ndarray, log_p: np.ndarray, n: np.ndarray) -> tuple[list[int], np.ndarray]:
     """The chosen languages and their proportions; p and log_p: (trigrams, languages), n: counts.
 
     The likelihood is concave in the proportions, so its slope towards a further language bounds what that language can gain: EM runs
-    only where the bound exceeds the penalty.
+    only where the bound exceeds the penalty. A language that later ones have made idle goes again.
     """
     weight = n.astype(np.float64)
     total = weight.sum()
@@ -118,24 +130,26 @@ def mixture(p: np.ndarray, log_p: np.ndarray, n: np.ndarray) -> tuple[list[int],
     single = weight @ log_p
     chosen = [int(np.argmax(single))]
     best, pi = single[chosen[0]], np.ones(1)
-    while len(chosen) < min(MAX_SET, p.shape[1]):
+    while True:
         slope = (weight / (p[:, chosen] @ pi)) @ p - total
         slope[chosen] = -np.inf
         extra = int(np.argmax(slope))
         if slope[extra] <= penalty:
-            break
-        q = p[:, [*chosen, extra]]
-        new = np.append(pi * 0.8, 0.2)
-        for _ in range(EM_STEPS):
-            old = new
-            new = new * ((weight / (q @ new)) @ q) / total
-            if abs(new - old).max() < TOLERANCE:
-                break
-        gained = weight @ np.log(q @ new)
+            return chosen, pi
+        new, gained = _fit(p[:, [*chosen, extra]], weight, np.append(pi * 0.8, 0.2))
         if gained - best <= penalty:
-            break
+            return chosen, pi
         chosen, pi, best = [*chosen, extra], new, gained
-    return chosen, pi
+        while len(chosen) > 2:
+            fits = []
+            for i in range(len(chosen) - 1):
+                left = np.delete(pi, i) + 1e-3
+                fits.append(_fit(p[:, chosen[:i] + chosen[i + 1 :]], weight, left / left.sum()))
+            i = max(range(len(fits)), key=lambda x: fits[x][1])
+            if best - fits[i][1] >= penalty:
+                break
+            pi, best = fits[i]
+            del chosen[i]
 
 
 def predict(model: Model, text: str | None) -> tuple[str, float, list[str], list[float]]:

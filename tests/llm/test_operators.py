@@ -65,6 +65,18 @@ def test_language_mixture_proportions():
     assert language_id.mixture(p[only > 0], np.log(p[only > 0]), only[only > 0])[0] == [1]
 
 
+def test_language_mixture_of_more_than_three():
+    rng = np.random.default_rng(1)
+    p = rng.dirichlet(np.full(300, 0.2), 7).T + 1e-9
+    p /= p.sum(0)
+    for shares in ([0.36, 0.24, 0.2, 0.2], [0.3, 0.2, 0.2, 0.15, 0.15], [1 / 7] * 7):
+        n = rng.multinomial(6000, p[:, : len(shares)] @ shares)
+        seen = n > 0
+        chosen, pi = language_id.mixture(p[seen], np.log(p[seen]), n[seen])
+        assert sorted(chosen) == list(range(len(shares)))
+        assert max(abs(dict(zip(chosen, pi))[i] - x) for i, x in enumerate(shares)) < 0.05
+
+
 def test_language_edges(spark, odd, none):
     model = language_id.train(spark, odd)
     rows = language_id.identify(spark, odd, model).select("doc_id", "text", F.col("lang_pred")).collect()
