@@ -3,8 +3,10 @@ r"""Secret scan: fixed patterns and a battery of randomness tests.
 Base kinds (leftmost, non-overlapping, per kind): ``assign`` (a keyword, a separator and a value of 12 or more characters), ``access``
 (``AKIA`` and capitals or digits, 18 or more characters), ``hex`` (16 or more of 0-9a-f). A match that is too short is dropped.
 
-Kind ``random``: runs of 20 or more characters of ``[A-Za-z0-9+/_-]`` that touch no base span. The smallest usual alphabet that holds
-the run is its inferred encoding. Three tests look for departures from randomness: chi-squared uniformity over that alphabet, runs
+Kind ``random``: runs of 20 or more characters of ``[A-Za-z0-9+/_-]``, outside base spans (a run is cut at them). The smallest usual
+alphabet that holds the run is its inferred encoding. A run with signs of both base64 alphabets fits none: it is cut once at the signs
+of the one and once at those of the other, and each part of 20 or more characters is a run of its own; where random parts overlap, the
+span is all of them. Three tests look for departures from randomness: chi-squared uniformity over that alphabet, runs
 above and below the alphabet's middle, lag-1 serial correlation; Fisher's sum joins their p-values, and a run must pass at RANDOM_P.
 Against prose, the likelihood ratio of the uniform alphabet to a model of written words, numbers and identifiers (rare changes between
 lower case, capitals, digits and signs) is an e-value: its inverse is a p-value, smaller the longer a random run is. Benjamini-Hochberg
@@ -30,7 +32,10 @@ from granary.session import ship_package
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
 ACCESS = re.compile(r"AKIA[A-Z0-9]+")
 HEX = re.compile(r"[0-9a-f]{16,}")
+LEAST = 20
 RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
+_SIGNS, _URL_SIGNS = re.compile("[+/]"), re.compile("[_-]")
+_WITHOUT_SIGNS, _WITHOUT_URL_SIGNS = re.compile(r"[A-Za-z0-9_-]{20,}"), re.compile(r"[A-Za-z0-9+/]{20,}")
 KINDS = ("assign", "access", "hex", "random")
 RANDOM_P, FDR = 0.001, 0.001
 
@@ -112,14 +117,35 @@ def prose_p(run: str, k: int) -> float:
     return math.exp(-max(0.0, ratio))
 
 
+def runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
+    """Spans of the runs to be tested, outside `taken` (sorted by starts); those of one run may overlap."""
+    k = ahead = 0
+    for m in RUN.finditer(text):
+        s, end = m.span()
+        free = []
+        while k < len(taken) and taken[k][0] < end:
+            if taken[k][0] > max(s, ahead):
+                free.append((max(s, ahead), taken[k][0]))
+            ahead = max(ahead, taken[k][1])
+            k += 1
+        free.append((max(s, ahead), end))
+        for a, b in free:
+            if b - a < LEAST:
+                continue
+            part = text[a:b]
+            if not (_SIGNS.search(part) and _URL_SIGNS.search(part)):
+                yield a, b
+                continue
+            for one in (_WITHOUT_SIGNS, _WITHOUT_URL_SIGNS):
+                for x in one.finditer(text, a, b):
+                    yield x.span()
+
+
 def random_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int]]:
     """Spans of random runs outside `taken` under false-discovery control."""
     tested = []
-    for m in RUN.finditer(text):
-        s, e = m.span()
-        if any(a < e and s < b for a, b in taken):
-            continue
-        run = m.group()
+    for s, e in sorted(set(runs(text, taken))):
+        run = text[s:e]
         found = infer_encoding(run)
         p = 1.0
         if found:
@@ -129,7 +155,13 @@ def random_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int
         tested.append((p, s, e))
     tested.sort()
     keep = max((i for i, (p, _, _) in enumerate(tested, 1) if p <= FDR * i / len(tested)), default=0)
-    return sorted((s, e) for _, s, e in tested[:keep])
+    spans: list[tuple[int, int]] = []
+    for s, e in sorted((s, e) for _, s, e in tested[:keep]):
+        if spans and s < spans[-1][1]:
+            spans[-1] = (spans[-1][0], max(e, spans[-1][1]))
+        else:
+            spans.append((s, e))
+    return spans
 
 
 def base_spans(text: str) -> list[tuple[int, int, int]]:

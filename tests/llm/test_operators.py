@@ -287,6 +287,25 @@ def test_random_runs_found_and_prose_left():
         assert secret_scan.random_spans(quiet, []) == []
 
 
+def test_keys_beside_other_signs_and_base_spans_found():
+    rnd = random.Random(12)
+    plain = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    after_path = after_name = after_base = 0
+    for _ in range(200):
+        url = "".join(rnd.choice(plain + "-_") for _ in range(38)) + "-_"
+        text = f"see host/path/{url} there"
+        after_path += any(4 <= s <= 14 and e == 54 for s, e in secret_scan.random_spans(text, []))
+        key = "".join(rnd.choice(plain + "+/") for _ in range(38)) + "+/"
+        found = secret_scan.random_spans(f"see of_some_name_{key} there", [])
+        after_name += any(4 <= s <= 17 and e == 57 for s, e in found)
+        before = "".join(rnd.choice(plain) for _ in range(40))
+        text = f"{before}_token=abcdefghijklmnop {prose(13, 9)}"
+        after_base += any(s == 0 and 40 <= e <= 41 for s, e in secret_scan.random_spans(text, [(s, e) for s, _, e in secret_scan.base_spans(text)]))
+    assert min(after_path, after_name, after_base) > 185
+    for quiet in ("/usr/local/lib/python3/site-packages/some_module/of-the-other_kind", "https/example/blog/2024-01-01/a-long_title-of-many_words/index"):
+        assert secret_scan.random_spans(quiet, []) == []
+
+
 def test_battery_p_values_are_about_uniform():
     rng = np.random.default_rng(7)
     ps = np.array([secret_scan.battery(rng.integers(0, 16, 200).tolist(), 16) for _ in range(400)])
