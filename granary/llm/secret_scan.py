@@ -10,7 +10,7 @@ span is all of them. Three tests look for departures from randomness: chi-square
 above and below the alphabet's middle, lag-1 serial correlation; Fisher's sum joins their p-values, and a run must pass at RANDOM_P.
 Against prose, the likelihood ratio of the uniform alphabet to a model of written words, numbers and identifiers (rare changes between
 lower case, capitals, digits and signs) is an e-value: its inverse is a p-value, smaller the longer a random run is. Benjamini-Hochberg
-at FDR over a document's runs decides.
+at FDR over a document's runs with an inferred encoding decides; others, such as plain words, are no hypotheses.
 
 Offsets are code points, ends exclusive. Defined results: a null text is empty; a text without a match has the digest of the empty
 string; repeated rows are rows of their own; only the text column is read.
@@ -147,11 +147,12 @@ def random_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int
     for s, e in sorted(set(runs(text, taken))):
         run = text[s:e]
         found = infer_encoding(run)
+        if not found:
+            continue
+        index = found[1]
         p = 1.0
-        if found:
-            index = found[1]
-            if fisher(battery([index[c] for c in run], len(index))) >= RANDOM_P:
-                p = prose_p(run, len(index))
+        if fisher(battery([index[c] for c in run], len(index))) >= RANDOM_P:
+            p = prose_p(run, len(index))
         tested.append((p, s, e))
     tested.sort()
     keep = max((i for i, (p, _, _) in enumerate(tested, 1) if p <= FDR * i / len(tested)), default=0)

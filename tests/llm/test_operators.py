@@ -306,6 +306,18 @@ def test_keys_beside_other_signs_and_base_spans_found():
         assert secret_scan.random_spans(quiet, []) == []
 
 
+def test_plain_words_leave_recall_as_it_is():
+    rnd = random.Random(14)
+    lower = "abcdefghijklmnopqrstuvwxyz"
+    plain = lower.upper() + lower + "0123456789"
+    words = " ".join("".join(rnd.choice(lower) for _ in range(22)) for _ in range(300))
+    for chars, n, least in ((plain + "+/", 32, 0.85), (plain, 24, 0.7), (plain, 20, 0.5)):
+        keys = ["".join(rnd.choice(chars) for _ in range(n)) for _ in range(100)]
+        found = [secret_scan.random_spans(f"{words} {k}", []) for k in keys]
+        assert [bool(x) for x in found] == [bool(secret_scan.random_spans(k, [])) for k in keys]
+        assert sum(map(bool, found)) >= least * len(keys)
+
+
 def test_battery_p_values_are_about_uniform():
     rng = np.random.default_rng(7)
     ps = np.array([secret_scan.battery(rng.integers(0, 16, 200).tolist(), 16) for _ in range(400)])
