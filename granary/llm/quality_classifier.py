@@ -3,7 +3,7 @@
 Two zstandard dictionaries are built, from chunks of good and of bad labelled texts. Every chunk of a text is compressed with both, and
 the text's normalised difference is (bytes with the bad dictionary - bytes with the good one) / (sum of both): above zero where the
 text is more like the good ones. Logistic regression on labelled rows that built no dictionary turns the difference, the same
-difference of the chunk most like the bad ones, and the compressed share of the bytes (endless repeats compress to nothing) into the
+difference of the chunk most like the bad ones (the last of several chunks is filled up from the one before it), and the compressed share of the bytes (endless repeats compress to nothing) into the
 score.
 
 Bounds: the dictionaries are built from about SAMPLE_CHUNKS chunks of each class and the regression from about CALIBRATION_ROWS rows,
@@ -62,7 +62,10 @@ class Model:
         if not sizes:
             return 0.0, 0.0, 0.0
         g, b = (sum(x) for x in zip(*sizes))
-        whole = [(y - x) / (x + y) for x, y in sizes[: max(1, len(sizes) - 1)]]
+        if len(pieces) > 1 and len(pieces[-1]) < CHUNK:
+            last = (pieces[-2] + pieces[-1])[-CHUNK:]
+            sizes[-1] = (len(good(last)), len(bad(last)))
+        whole = [(y - x) / (x + y) for x, y in sizes]
         return (b - g) / (b + g), min(whole), float(np.log((g + b) / 2 / sum(map(len, pieces))))
 
     def score(self, text: str | None) -> float:

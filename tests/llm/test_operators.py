@@ -102,6 +102,15 @@ def test_quality_held_out(spark):
     assert ((got.score >= 0.3) == (got.predicted == 1)).all()
 
 
+def test_least_chunk_sees_the_end_of_a_text():
+    good, bad = prose(15, 4000).encode(), b" ".join(b"%x" % (i * 7919) for i in range(8000))
+    model = quality_classifier.Model(good, bad, 0.5)
+    clean, spoilt = good[:2048], bad[20_000:22_000]
+    _, least, _ = model.differences((clean + spoilt).decode())
+    assert least < 0 < model.differences(clean.decode())[1]
+    assert model.differences(spoilt.decode())[1] < 0
+
+
 def test_quality_edges(spark, odd, none):
     marks = spark.createDataFrame([(7, 1, 0), (7, 0, 0), (9, 1, 1), (8, None, 1)], "doc_id long, quality int, toxic int")
     for docs, labels in ((odd, marks), (odd, marks.where("quality = 1")), (none, marks), (odd, marks.limit(0))):
