@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import atexit
 import os
 import tempfile
 import uuid
@@ -48,24 +49,38 @@ def ship_package(spark: SparkSession) -> None:
 
 
 def scratch_root(spark: SparkSession) -> str:
-    """The shared folder of `spark.checkpoint.dir`; a temporary one is set only where there is none."""
+    """The shared folder of `spark.checkpoint.dir`; a temporary one is set only where there is none and all runs in one process."""
     sc = spark.sparkContext
     root = sc.getConf().get("spark.checkpoint.dir") or spark.conf.get("spark.checkpoint.dir", None) or sc._jsc.sc().getCheckpointDir().getOrElse(None)
     if not root:
-        if not sc.master.startswith("local"):
+        if sc.master != "local" and not sc.master.startswith("local["):
             raise RuntimeError("spark.checkpoint.dir must name a shared folder")
         sc.setCheckpointDir(tempfile.mkdtemp(prefix="granary-checkpoint-"))
         root = sc._jsc.sc().getCheckpointDir().get()
     return root.rstrip("/")
 
 
+_open: dict[str, "Scratch"] = {}
+
+
+@atexit.register
+def _clean() -> None:
+    """Results may read their scratch tables as long as the driver lives; what is left goes with it."""
+    for scratch in list(_open.values()):
+        try:
+            scratch.close()
+        except Exception:  # the session is gone already
+            return
+
+
 class Scratch:
-    """Tables written to the shared folder: they cut lineage and survive lost executors."""
+    """Tables written to the shared folder: they cut lineage and survive lost executors. They are deleted when closed or at the driver's end."""
 
     def __init__(self, spark: SparkSession, label: str):
         self.spark = spark
         self.root = f"{scratch_root(spark)}/granary/{label}-{uuid.uuid4().hex}"
         self._n = 0
+        _open[self.root] = self
 
     def write(self, df: DataFrame, name: str = "t") -> DataFrame:
         """Write `df` and return the written table."""
@@ -84,6 +99,7 @@ class Scratch:
     def close(self, keep: DataFrame | None = None) -> None:
         """Delete all tables but `keep`."""
         if keep is None:
+            _open.pop(self.root, None)
             self._delete(self.root)
             return
         kept = keep._granary_path.rsplit("/", 1)[1]
