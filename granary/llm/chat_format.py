@@ -10,8 +10,8 @@ Template (marks are control strings):
 character, after any backslashes that already stand there; reading back takes one backslash away, so every text survives.
 
 Defined results: a null text is empty; a null role is the empty role; rows are ordered by turn (null first), then role, then text, so
-repeated rows and ties stay, in a fixed order; a null conv_id is a conversation of its own; an empty table gives no row; other columns
-are ignored. A conversation becomes one output row, so its turns meet in one task; that is the size of the result itself.
+repeated rows and ties stay, in a fixed order; a null conv_id is a conversation of its own; an empty table gives no row; very long texts
+and conversations cost time in proportion (offsets by a logarithm of the turns); other columns, of any name, are ignored. A conversation becomes one output row, so its turns meet in one task; that is the size of the result itself.
 """
 
 from __future__ import annotations
@@ -55,18 +55,19 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
 
     pieces = grouped.select("conv_id", F.transform("turns", piece).alias("pieces"))
     size = lambda p: F.length(p["head"]) + F.length(p["body"]) + F.length(p["tail"])
-    spans = F.aggregate(
-        "pieces",
-        F.struct(F.lit(0).alias("at"), F.array().cast("array<struct<start:int,length:int>>").alias("spans")),
-        lambda a, p: F.struct(
-            (a["at"] + size(p)).alias("at"),
-            F.when(p["loss"], F.concat(a["spans"], F.array(F.struct((a["at"] + F.length(p["head"])).alias("start"), F.length(p["body"]).alias("length"))))).otherwise(a["spans"]).alias("spans"),
-        ),
-    )["spans"]
-    return pieces.select(
+    # Ends of the pieces by doubling: after step k an entry is the sum of the 2^(k+1) sizes up to it, so no array grows turn by turn.
+    steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size("pieces"), F.lit(2)))).cast("int") - 1)
+    ends = F.aggregate(steps, F.transform("pieces", size), lambda sums, k: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.pow(F.lit(2), k).cast("int")), F.lit(0))))
+    located = pieces.withColumn("ends", ends)
+    spans = F.filter(
+        F.transform("pieces", lambda p, i: F.struct((F.get(F.col("ends"), i) - F.length(p["tail"]) - F.length(p["body"])).alias("start"), F.length(p["body"]).alias("length"), p["loss"].alias("loss"))),
+        lambda x: x["loss"],
+    )
+    loss_mask = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+    return located.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
-        spans.alias("loss_mask"),
+        loss_mask.alias("loss_mask"),
     )
 
 
@@ -87,10 +88,23 @@ def read_back(df: DataFrame, formatted: str = "formatted") -> DataFrame:
     return df.withColumn(turns, F.flatten(F.transform(blocks, block)))
 
 
+def read_loss(formatted: Column, loss_mask: Column) -> Column:
+    """The unescaped text under the mask. Spans are cut from fixed-width code points, so a cut costs its own length only."""
+    wide = F.encode(formatted, "UTF-32")
+    mark = F.unhex(F.lit("0000FEFF"))  # a byte-order mark of its own, so that one in the text stays
+
+    def cut(w: Column, span: Column) -> Column:
+        own = F.substring(w, span["start"] * 4 + 1, span["length"] * 4)
+        return unescape(F.decode(F.concat(mark, own), "UTF-32"))
+
+    return F.array_join(F.flatten(F.transform(F.array(wide), lambda w: F.transform(loss_mask, lambda span: cut(w, span)))), "")
+
+
 def digest(df: DataFrame) -> DataFrame:
-    """What `formatted` says, read back from it."""
-    back = read_back(df.select("conv_id", "formatted"))
-    loss = F.array_join(F.transform(F.filter("turns", lambda t: t["role"] == "assistant"), lambda t: t["text"]), "")
+    """What `formatted` and `loss_mask` say, read back from them."""
+    back = read_back(df.select("conv_id", "formatted", "loss_mask"))
+    back = back.withColumn("loss", read_loss(F.col("formatted"), F.col("loss_mask")))
+    loss = F.col("loss")
     return back.select(
         "conv_id",
         F.size("turns").cast("long").alias("n_turns"),
