@@ -431,6 +431,76 @@ def test_communication_matrix_has_its_margins_and_law():
     assert abs(mean - 5) < 0.3
 
 
+def test_draws_have_the_exact_law_on_both_sides_of_the_library_limit():
+    from math import comb
+
+    rng = np.random.default_rng(4)
+    for good, bad, n in ((9, 7, 8), (3, 40, 11), (60, 90, 70)):
+        for draw in (sharding.hypergeometric, sharding._draw_large):
+            got = draw(rng, np.full(40_000, good), np.full(40_000, bad), np.full(40_000, n))
+            low, high = max(0, n - bad), min(n, good)
+            want = np.array([comb(good, k) * comb(bad, n - k) / comb(good + bad, n) for k in range(low, high + 1)])
+            seen = np.bincount(got - low, minlength=len(want)) / len(got)
+            assert abs(seen - want).max() < 0.012
+    big = sharding.hypergeometric(rng, np.full(20_000, 4 * 10**10), np.full(20_000, 6 * 10**10), np.full(20_000, 10**10))
+    sd = (10**10 * 0.4 * 0.6 * 0.9) ** 0.5
+    assert abs(big.mean() - 4 * 10**9) < 4 * sd / 20_000**0.5 and abs(big.std() / sd - 1) < 0.02
+    assert abs((abs(big - 4 * 10**9) < sd).mean() - 0.6827) < 0.015
+
+
+def test_communication_matrix_of_a_hundred_billion_rows():
+    sources = [25 * 10**9 + i for i in range(4)] + [0, 1]
+    total = sum(sources)
+    targets = [total // 8 + (i < total % 8) for i in range(8)]
+    m = sharding.communication_matrix(sources, targets, 5)
+    assert m.sum(1).tolist() == sources and m.sum(0).tolist() == targets and (m >= 0).all()
+    want = np.outer(np.array(sources[:4], float), np.array(targets, float)) / total
+    assert (abs(m[:4] - want) < 6 * want**0.5).all()
+
+
+def test_matrix_law_equals_all_permutations():
+    import itertools
+
+    seen, want = collections.Counter(), collections.Counter()
+    for order in itertools.permutations(range(6)):  # rows 0 to 5 of sources 0, 0, 1, 1, 1, 2; places of targets 0, 0, 1, 1, 2, 2
+        m = np.zeros((3, 3), int)
+        for place, row in enumerate(order):
+            m[[0, 0, 1, 1, 1, 2][row], place // 2] += 1
+        want[m.tobytes()] += 1 / 720
+    for s in range(6000):
+        seen[sharding.communication_matrix([2, 3, 1], [2, 2, 2], s).astype(int).tobytes()] += 1 / 6000
+    assert seen.keys() == want.keys()
+    assert sum((seen[k] - want[k]) ** 2 / want[k] for k in want) * 6000 < len(want) + 4 * (2 * len(want)) ** 0.5
+
+
+def test_whole_shuffle_is_uniform_over_all_permutations(spark):
+    """Many tables of four rows, each with two sources and two shards, in one run; all 24 orders must be equally likely."""
+    from granary.session import Scratch
+
+    n = 6000
+    rows = spark.range(4 * n).select(F.col("id").alias("at"), (F.floor(F.col("id") / 4) * 4).cast("long").alias("block"), F.when(F.col("id") % 4 < 3, 0).otherwise(1).cast("long").alias("source"))
+    scratch = Scratch(spark, "test")
+    names = {k: k for k in ("at", "block", "source", "rank")}
+    plan = {4 * b: ([(0, 3), (1, 1)], [(4 * b, 2), (4 * b + 2, 2)]) for b in range(n)}
+    sent = sharding.exchange(spark, scratch, rows, plan, names, 3)
+    again = sharding.Window.partitionBy("block").orderBy(F.xxhash64(F.lit(2), "at"), "at")
+    got = sent.select("at", (F.col("block") + F.row_number().over(again) - 1).alias("place")).toPandas().sort_values("place")
+    assert got.place.tolist() == list(range(4 * n))
+    orders = collections.Counter(tuple(x) for x in (got["at"].values.reshape(-1, 4) % 4).tolist())
+    assert len(orders) == 24 and sum((c - n / 24) ** 2 / (n / 24) for c in orders.values()) < 23 + 4 * 46**0.5
+    scratch.close()
+
+
+def test_rounds_of_blocks_lose_nothing(spark):
+    docs = spark.range(0, 5003, 1, 9).select(F.col("id").alias("doc_id"))
+    for cells in (1 << 22, 24):
+        got = sharding.shuffle_to_shards(spark, docs, 3, block_rows=40, matrix_cells=cells).toPandas()
+        assert sorted(got.doc_id) == list(range(5003)) and got.groupby("shard").size().tolist() == [1668, 1668, 1667]
+        for _, part in got.groupby("shard"):
+            assert sorted(part.slot) == list(range(len(part)))
+        assert abs(np.corrcoef(got.doc_id, got["shard"] * 1668 + got.slot)[0, 1]) < 0.06
+
+
 def test_shard_edges(spark, odd, none):
     got = sharding.digest(spark, odd, 8).collect()
     assert len(got) == len(ODD)
@@ -556,6 +626,19 @@ def test_chat_round_trip(spark):
     assert chat_format.digest(chat_format.format_conversations(df.limit(0))).count() == 0
 
 
+def test_loss_is_read_under_the_mask(spark):
+    rows = [(1, 0, "user", "é[INST]"), (1, 1, "assistant", "\ufeff</s>\U0001f600 yes"), (1, 2, "assistant", "\ufeffmore"), (1, 3, "user", "x"), (1, 4, "assistant", "")]
+    rows += [(2, t, ("user", "assistant")[t % 2], f"turn {t} é") for t in range(3000)]
+    formatted = chat_format.format_conversations(spark.createDataFrame(rows, "conv_id long, turn long, role string, text string")).cache()
+    got = {r["conv_id"]: r for r in chat_format.digest(formatted).collect()}
+    assert got[1]["loss_sha256"] == hashlib.sha256("\ufeff</s>\U0001f600 yes\ufeffmore".encode()).hexdigest()
+    assert got[2]["loss_sha256"] == hashlib.sha256("".join(t for _, _, r, t in rows[5:] if r == "assistant").encode()).hexdigest()
+    for change in (lambda x: F.struct((x["start"] + 1).alias("start"), x["length"].alias("length")), lambda x: F.struct(x["start"].alias("start"), (x["length"] - 1).alias("length"))):
+        moved = formatted.withColumn("loss_mask", F.transform("loss_mask", change))
+        for r in chat_format.digest(moved).collect():
+            assert r["loss_sha256"] != got[r["conv_id"]]["loss_sha256"] and r["turns_sha256"] == got[r["conv_id"]]["turns_sha256"]
+
+
 def test_chat_equals_sql(spark):
     import duckdb
 
