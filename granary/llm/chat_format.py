@@ -58,13 +58,13 @@ def format_conversations(df: DataFrame, conv: str = "conv_id", turn: str = "turn
     # Ends of the pieces by doubling: after step k an entry is the sum of the 2^(k+1) sizes up to it, so no array grows turn by turn.
     steps = F.sequence(F.lit(0), F.ceil(F.log2(F.greatest(F.size("pieces"), F.lit(2)))).cast("int") - 1)
     ends = F.aggregate(steps, F.transform("pieces", size), lambda sums, k: F.transform(sums, lambda x, i: x + F.coalesce(F.get(sums, i - F.pow(F.lit(2), k).cast("int")), F.lit(0))))
-    located = pieces.withColumn("ends", ends)
-    spans = F.filter(
-        F.transform("pieces", lambda p, i: F.struct((F.get(F.col("ends"), i) - F.length(p["tail"]) - F.length(p["body"])).alias("start"), F.length(p["body"]).alias("length"), p["loss"].alias("loss"))),
-        lambda x: x["loss"],
-    )
-    loss_mask = F.transform(spans, lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
-    return located.select(
+
+    def located(ends: Column) -> Column:
+        spans = F.transform("pieces", lambda p, i: F.struct((F.get(ends, i) - F.length(p["tail"]) - F.length(p["body"])).alias("start"), F.length(p["body"]).alias("length"), p["loss"].alias("loss")))
+        return F.transform(F.filter(spans, lambda x: x["loss"]), lambda x: F.struct(x["start"].alias("start"), x["length"].alias("length")))
+
+    loss_mask = F.get(F.transform(F.array(ends), located), F.lit(0))  # bound, so that the ends are computed once
+    return pieces.select(
         "conv_id",
         F.array_join(F.transform("pieces", lambda p: F.concat(p["head"], p["body"], p["tail"])), "").alias("formatted"),
         loss_mask.alias("loss_mask"),
