@@ -187,6 +187,24 @@ def test_join_equals_brute_force(spark, monkeypatch):
     assert kept.columns == ["doc_id", "text", "_md5"]
 
 
+def test_join_of_the_table_equals_an_inverted_index(spark):
+    """All pairs at 0.8 or more among the texts of a table, by shared shingles; recall and classes must be whole."""
+    docs = read_table(spark, MEDIUM, "documents").select("doc_id", "text")
+    texts = {r["doc_id"]: r["text"] for r in docs.collect()}
+    sets = {i: frozenset(tuple(w[k : k + 5]) for k in range(max(1, len(w) - 4))) for i, t in texts.items() if (w := (t or "").split())}
+    places = collections.defaultdict(list)
+    for i, s in sets.items():
+        for x in s:
+            places[x].append(i)
+    links = collections.Counter()
+    for i, s in sets.items():
+        common = collections.Counter(j for x in s for j in places[x] if j != i)
+        links[i] = sum(n >= 0.8 * (len(s) + len(sets[j]) - n) - 1e-9 for j, n in common.items())
+    got = {r["doc_id"]: r["n_linked_docs"] for r in near_duplicates.find(spark, docs).collect()}
+    assert sum(links.values()) > 100
+    assert {i: n for i, n in got.items() if i in sets} == {i: links[i] for i in sets}
+
+
 def test_join_edges(spark, odd, none):
     rows = near_duplicates.find(spark, odd).collect()
     assert len(rows) == len(ODD) and all(r["n_links"] == 0 for r in rows)
@@ -207,6 +225,26 @@ def test_classes_with_null_or_shared_ids_stay_apart(spark):
     assert {t for _, t in kept} - {texts[0], near} == set(texts[1:])
 
 
+def test_word_hashes_tell_words_apart(monkeypatch):
+    rnd = random.Random(21)
+    text = "".join(rnd.choice(["a", "b", "ab", "é", "中", " ", "\n", "\u3000", "\x1c", "\xa0", "zz" * 40, "q" * 5000 if rnd.random() < 0.01 else "q"]) for _ in range(60_000))
+    words = text.split()
+    monkeypatch.setattr(near_duplicates, "LONG_WORD", 60)  # no longer than the smallest block, as in use
+    number: dict[str, int] = {}
+    want = [number.setdefault(w, len(number)) for w in words]
+    for block in (1 << 17, 1000, 64):
+        monkeypatch.setattr(near_duplicates, "BLOCK_CHARS", block)
+        near_duplicates._powers.cache_clear()
+        got = near_duplicates.word_hashes(text).tolist()
+        seen: dict[int, int] = {}
+        assert [seen.setdefault(h, len(seen)) for h in got] == want
+        if block == 1 << 17:
+            first = got
+        assert got == first
+    near_duplicates._powers.cache_clear()
+    assert [len(near_duplicates.word_hashes(t)) for t in ("", " \n", "x", " x ", "x" * 300_000, "x" * 300_000 + " y")] == [0, 0, 1, 1, 1, 2]
+
+
 def test_pruning_bounds_are_lossless_at_threshold():
     least = near_duplicates.least_matches(0.8)
     assert all(a <= b for a, b in zip(least, least[1:]))
