@@ -1,23 +1,25 @@
-"""Token counts by a tokenizer compiled to a finite-state transducer.
+"""Token counts by a tokenizer compiled to finite-state transducers.
 
 The tokenizer file (byte-level BPE in the `tokenizers` JSON layout, with the usual pattern of contractions, letters, numbers, other
-signs and blanks) is compiled to a deterministic transducer over character classes. A transition carries its next state and where it
-ends a piece: before the character, before the character read last, or both. A piece that ends emits its number of tokens, which the
-merges give; pieces are counted once and remembered.
+signs and blanks) is compiled to two deterministic transducers. That of the pattern runs over character classes; a transition carries
+its next state and where it ends a piece: before the character, before the character read last, or both. That of the merges
+(`Transducer`) runs over the bytes of a piece; a transition carries its next state and the number of tokens it emits, and a state the
+number that the end of a piece emits. Counts are sums over transitions; no piece is looked up by a hash.
 
 All texts of a batch are one string of classes, with a class of their own between texts that leads every state back to the start. It
 is cut into chunks of equal length, whatever the texts' lengths. Each chunk is run from all states at once, which gives its state map;
-a parallel prefix scan composes the maps, which gives every chunk's entry state; then all chunks run again from there and emit.
+a parallel prefix scan composes the maps, which gives every chunk's entry state; then all chunks run again from there and cut pieces.
+The pieces run side by side through the second transducer, and running sums of what they emit give each text's count.
 
 Special strings inside texts are found first, as the library does, and count as one token each.
 
-Defined results: a null or empty text has no token; over_limit is n_tokens > LIMIT; repeated rows are rows of their own; only the text
-column is read; very long texts and very long pieces are read whole (long pieces are merged with a heap).
+Defined results: a null or empty text has no token; an empty table gives no row; over_limit is n_tokens > LIMIT; repeated rows are rows
+of their own; only the id and text columns are read, so others may have any name; a text of more than SLICE_CHARS characters is run by
+slices that hand on both states, so neither long texts nor long pieces need more memory than a slice.
 """
 
 from __future__ import annotations
 
-import heapq
 import json
 import unicodedata
 from collections.abc import Iterator
@@ -29,9 +31,13 @@ from pyspark.sql import functions as F
 
 from granary.session import ship_package
 
-LIMIT, CHUNK, HEAD, REMEMBERED = 512, 512, 24, 400_000
-#: Characters of texts that are run at once; a longer text is run by itself.
-BATCH_CHARS = 1 << 20
+LIMIT, CHUNK, HEAD = 512, 512, 24
+#: Characters that are run at once; a longer text is run by slices.
+SLICE_CHARS = 1 << 20
+#: Compiled states that a process holds, and bytes from which a piece is run by itself.
+MOST_STATES, SIDE_BY_SIDE = 400_000, 64
+_BASE = np.uint64(0x9E3779B97F4A7C15)
+_ZERO = 512
 
 # Character classes.
 END, LETTER, NUMBER, SPACE, BLANK, QUOTE, SIGN, C_STMD, C_R, C_V, C_L, C_E = range(12)
@@ -111,7 +117,7 @@ def class_table() -> np.ndarray:
     return _table
 
 
-def run_states(classes: np.ndarray) -> np.ndarray:
+def run_states(classes: np.ndarray, entry: int = START) -> np.ndarray:
     """Entry state of every position, by chunk maps and a prefix scan of their composition."""
     n = len(classes)
     rows = -(-n // CHUNK)
@@ -134,8 +140,8 @@ def run_states(classes: np.ndarray) -> np.ndarray:
     while step < rows:
         maps = np.concatenate((maps[:, :step], np.take_along_axis(maps[:, step:], maps[:, :-step], 0)), 1)
         step *= 2
-    state = np.zeros(rows, np.uint8)
-    state[1:] = maps[START, :-1]
+    state = np.full(rows, entry, np.uint8)
+    state[1:] = maps[entry, :-1]
     out = np.empty((CHUNK, rows), np.uint8)
     for i, c in enumerate(grid):
         out[i] = state
@@ -143,130 +149,285 @@ def run_states(classes: np.ndarray) -> np.ndarray:
     return out.T.reshape(-1)[:n]
 
 
-class Counter:
-    """Tokens of a piece by the merges of the file."""
+class Transducer:
+    """The merges as a deterministic transducer over the bytes of a piece.
 
-    def __init__(self, path: str):
-        with open(path, encoding="utf-8") as f:
-            data = json.load(f)
-        model = data["model"]
+    A prefix of a piece has one last token: the one whose removal leaves a prefix with a last token that may stand before it (two
+    tokens may stand together if the merges of their bytes give them back). So a prefix of i bytes has one token more than the prefix
+    that its last token leaves. A next token can't begin before the longest suffix that begins some token; so a state is that suffix,
+    with the last token at each place of it. A transition's tokens are the change of the count at the suffix's start (below zero where a
+    longer token takes the place of two); a state's flush is the rest, when a piece ends there. States and transitions are compiled when
+    first met, by the file alone.
+    """
+
+    START = 0
+
+    def __init__(self, vocab: dict[str, int], merges: list):
         letters = byte_letters()
-        vocab = model["vocab"]
-        self.first = [vocab[letters[b]] for b in range(256)]
-        #: (left id, right id) to (rank, merged id), both in one number each.
-        self.merges: dict[int, int] = {}
-        for rank, m in enumerate(model["merges"]):
+        to_byte = {c: b for b, c in letters.items()}
+        first = [vocab[letters[b]] for b in range(256)]
+        self._first = first
+        #: (left id, right id) to (rank, merged id), in one number each.
+        self._merges: dict[int, int] = {}
+        self._of: dict[bytes, int] = {bytes([b]): first[b] for b in range(256)}
+        self._bytes: dict[int, bytes] = {i: x for x, i in self._of.items()}
+        for rank, m in enumerate(merges):
             left, right = m.split(" ") if isinstance(m, str) else m
-            self.merges[vocab[left] << 20 | vocab[right]] = rank << 20 | vocab[left + right]
-        self.specials = sorted((x["content"] for x in data["added_tokens"]), key=len, reverse=True)
-        self._known: dict[str, int] = {}
-
-    def piece(self, text: str) -> int:
-        known = self._known.get(text)
-        if known is None:
-            if len(self._known) >= REMEMBERED:
-                self._known.clear()
-            known = self._merge([self.first[b] for b in text.encode("utf-8", "surrogatepass")])
-            if len(text) < 64:
-                self._known[text] = known
-        return known
-
-    def _merge(self, ids: list[int]) -> int:
+            token = bytes(to_byte[c] for c in left + right)
+            i = vocab[left + right]
+            self._merges[vocab[left] << 20 | vocab[right]] = rank << 20 | i
+            self._of[token], self._bytes[i] = i, token
+        self._prefixes = {t[:k] for t in self._of for k in range(1, len(t) + 1)} | {b""}
+        self._together: dict[int, bool] = {}
+        self._clear()
+
+    def _clear(self) -> None:
+        self._states: dict[tuple, int] = {}
+        self._keys: list[tuple] = []
+        self.flush: list[int] = []
+        self._edges: dict[int, int] = {}  # state << 8 | byte to next state << 10 | tokens emitted + _ZERO
+        self._size = 1 << 16
+        self._table = np.full((2, self._size), -1, np.int64)
+        #: The empty prefix: no suffix, no last token (-1), no tokens.
+        self._state((b"", (-1,), (0,)))
+
+    def _state(self, key: tuple) -> int:
+        found = self._states.get(key)
+        if found is None:
+            found = self._states[key] = len(self._keys)
+            self._keys.append(key)
+            self.flush.append(key[2][-1])
+        return found
+
+    def merge(self, ids: list[int]) -> list[int]:
         """Tokens left when no pair can be merged; the pair of least rank goes first, the leftmost of equal ones."""
-        if len(ids) > 64:
-            return self._merge_long(ids)
-        get = self.merges.get
-        found = [get(a << 20 | b, _NONE) for a, b in zip(ids, ids[1:])]
-        while found:
-            best = min(found)
+        get = self._merges.get
+        while len(ids) > 1:
+            best, i = min((get(a << 20 | b, _NONE), i) for i, (a, b) in enumerate(zip(ids, ids[1:])))
             if best == _NONE:
                 break
-            i = found.index(best)
-            new = best & 0xFFFFF
-            ids[i] = new
-            del ids[i + 1], found[i]
-            if i < len(found):
-                found[i] = get(new << 20 | ids[i + 1], _NONE)
-            if i:
-                found[i - 1] = get(ids[i - 1] << 20 | new, _NONE)
-        return len(ids)
-
-    def _merge_long(self, ids: list[int]) -> int:
-        """The same with a heap over linked places."""
-        get, n = self.merges.get, len(ids)
-        after, before, live = list(range(1, n + 1)), list(range(-1, n - 1)), n
-        heap = [(m, i) for i in range(n - 1) if (m := get(ids[i] << 20 | ids[i + 1])) is not None]
-        heapq.heapify(heap)
-        while heap:
-            found, i = heapq.heappop(heap)
-            j = after[i]
-            if ids[i] < 0 or j >= n or get(ids[i] << 20 | ids[j]) != found:
-                continue
-            ids[i], ids[j] = found & 0xFFFFF, -1
-            after[i] = after[j]
-            if after[j] < n:
-                before[after[j]] = i
-            live -= 1
-            for k in (before[i], i):
-                if k >= 0 and after[k] < n and (m := get(ids[k] << 20 | ids[after[k]])) is not None:
-                    heapq.heappush(heap, (m, k))
-        return live
+            ids[i : i + 2] = [best & 0xFFFFF]
+        return ids
+
+    def _may_follow(self, left: int, right: int) -> bool:
+        key = left << 20 | right
+        found = self._together.get(key)
+        if found is None:
+            if len(self._together) >= MOST_STATES:
+                self._together.clear()
+            joined = self.merge([self._first[b] for b in self._bytes[left] + self._bytes[right]])
+            found = self._together[key] = joined == [left, right]
+        return found
+
+    def _compile(self, state: int, byte: int) -> int:
+        """The transition of a state by a byte; it is entered in both tables."""
+        suffix, lasts, counts = self._keys[state]
+        text = suffix + bytes([byte])
+        for k in range(len(text)):
+            token = self._of.get(text[k:])
+            if token is not None and (lasts[k] < 0 or self._may_follow(lasts[k], token)):
+                break
+        lasts, counts = (*lasts, token), (*counts, counts[k] + 1)
+        drop = 0
+        while text[drop:] not in self._prefixes:
+            drop += 1
+        emitted = counts[drop]
+        after = self._state((text[drop:], lasts[drop:], tuple(c - emitted for c in counts[drop:])))
+        key, value = state << 8 | byte, after << 10 | emitted + _ZERO
+        self._edges[key] = value
+        if 2 * len(self._edges) > self._size:
+            self._size *= 4
+            self._table = np.full((2, self._size), -1, np.int64)
+            for k, v in self._edges.items():
+                self._enter(k, v)
+        else:
+            self._enter(key, value)
+        return value
+
+    def _enter(self, key: int, value: int) -> None:
+        at = (key * 0x9E3779B97F4A7C15 & 0xFFFFFFFFFFFFFFFF) >> 32 & (self._size - 1)
+        keys = self._table[0]
+        while keys[at] >= 0:
+            at = (at + 1) & (self._size - 1)
+        self._table[:, at] = key, value
+
+    def _follow(self, keys: np.ndarray) -> np.ndarray:
+        """Transitions of many (state << 8 | byte); -1 where there is none yet."""
+        mask = self._size - 1
+        at = ((keys.astype(np.uint64) * _BASE) >> np.uint64(32)).astype(np.int64) & mask
+        seen = self._table[0, at]
+        out = np.where(seen == keys, self._table[1, at], -1)
+        left = np.flatnonzero((seen != keys) & (seen >= 0))
+        while len(left):
+            at[left] = (at[left] + 1) & mask
+            seen = self._table[0, at[left]]
+            out[left[seen == keys[left]]] = self._table[1, at[left[seen == keys[left]]]]
+            left = left[(seen != keys[left]) & (seen >= 0)]
+        return out
+
+    def reset_if_large(self) -> None:
+        """Forget the compiled states if they are many. Not between the parts of one piece."""
+        if len(self._keys) > MOST_STATES:
+            self._clear()
+
+    def run_one(self, data: bytes, state: int) -> tuple[int, int]:
+        """(state, tokens emitted) after `data`, byte by byte."""
+        get, total = self._edges.get, 0
+        for b in data:
+            found = get(state << 8 | b)
+            if found is None:
+                found = self._compile(state, b)
+            state = found >> 10
+            total += (found & 0x3FF) - _ZERO
+        return state, total
+
+    def run(self, data: np.ndarray, starts: np.ndarray, stops: np.ndarray, first: int = START) -> tuple[np.ndarray, np.ndarray]:
+        """(states, tokens emitted) after each piece of `data`, all pieces side by side. The first piece begins in the state `first`."""
+        lengths = stops - starts
+        state, total = np.zeros(len(starts), np.int64), np.zeros(len(starts), np.int64)
+        if len(starts):
+            state[0] = first
+        order = np.argsort(-lengths, kind="stable")
+        wide = np.searchsorted(-lengths[order], -SIDE_BY_SIDE, side="left")
+        for i in order[:wide].tolist():
+            state[i], total[i] = self.run_one(data[starts[i] : stops[i]].tobytes(), int(state[i]))
+        order = order[wide:]
+        at, left = starts[order], lengths[order]
+        s, n, k = state[order], np.zeros(len(order), np.int64), 0
+        live = int(np.searchsorted(-left, 0, side="left"))
+        while live:
+            keys = s[:live] << 8 | data[at[:live] + k]
+            found = self._follow(keys)
+            new = np.flatnonzero(found < 0)
+            if len(new):
+                for key in np.unique(keys[new]).tolist():
+                    self._compile(key >> 8, key & 0xFF)
+                found[new] = self._follow(keys[new])
+            s[:live], k = found >> 10, k + 1
+            n[:live] += (found & 0x3FF) - _ZERO
+            live = int(np.searchsorted(-left, -k, side="left"))
+        state[order], total[order] = s, n
+        return state, total
+
+
+class Counter:
+    """Token counts by the compiled tokenizer."""
+
+    def __init__(self, path: str):
+        with open(path, encoding="utf-8") as f:
+            data = json.load(f)
+        self.transducer = Transducer(data["model"]["vocab"], data["model"]["merges"])
+        self.specials = sorted((x["content"] for x in data["added_tokens"]), key=len, reverse=True)
+
+    def _segments(self, text: str) -> list[str]:
+        own = [text]
+        for special in self.specials:
+            if special in text:
+                own = [x for part in own for x in part.split(special)]
+        return own
 
     def texts(self, texts: list[str]) -> list[int]:
         """Tokens of each text."""
-        segments, owner, specials = [], [], [0] * len(texts)
+        out = [0] * len(texts)
+        held: list[str] = []
+        owner: list[int] = []
+        size = 0
+
+        def flush() -> None:
+            nonlocal size
+            if held:
+                for i, n in zip(owner, self._together(held)):
+                    out[i] += n
+            held.clear()
+            owner.clear()
+            size = 0
+
         for i, text in enumerate(texts):
-            own = [text]
-            for special in self.specials:
-                if special in text:
-                    own = [x for part in own for x in part.split(special)]
-            specials[i] = len(own) - 1
-            segments += own
-            owner += [i] * len(own)
-        # A class END stands after each segment; its code point is a placeholder of width one.
+            own = self._segments(text)
+            out[i] = len(own) - 1
+            for segment in own:
+                if len(segment) > SLICE_CHARS:
+                    out[i] += self._long(segment)
+                    continue
+                held.append(segment)
+                owner.append(i)
+                size += len(segment) + 1
+                if size >= SLICE_CHARS:
+                    flush()
+        flush()
+        return out
+
+    def _together(self, segments: list[str]) -> list[int]:
+        """Tokens of each of some short segments, as one string with a class END after each."""
+        self.transducer.reset_if_large()
         joined = "\0".join(segments) + "\0"
         points = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
         classes = class_table()[points]
         ends = np.cumsum([len(s) + 1 for s in segments]) - 1
         classes[ends] = END
-        state = run_states(classes)
-        emitted = _ENDS_FLAT[state * np.uint8(12) + classes]
-        cut = np.zeros(len(classes) + 1, bool)
-        cut[:-1] = emitted & HERE != 0
-        last = np.flatnonzero(emitted & LAST) - 1
-        cut[last] = True
+        cut = cuts(classes, run_states(classes))
         cut[ends], cut[ends + 1], cut[0] = True, True, True
         bounds = np.flatnonzero(cut)
         starts, stops = bounds[:-1], bounds[1:]
         real = classes[starts] != END
         starts, stops = starts[real], stops[real]
-        counts = self._pieces(joined, points, starts, stops)
-        of = np.searchsorted(ends, starts)
-        total = np.bincount(np.array(owner)[of], weights=counts, minlength=len(texts)).astype(np.int64) if len(starts) else np.zeros(len(texts), np.int64)
-        return (total + np.array(specials)).tolist()
-
-    def _pieces(self, joined: str, points: np.ndarray, starts: np.ndarray, stops: np.ndarray) -> np.ndarray:
-        """Token counts of the pieces; each different piece is looked up once."""
-        if not len(starts):
-            return np.zeros(0)
-        h = np.zeros(len(starts), np.uint64)
-        lengths = stops - starts
-        mixed = (points.astype(np.uint64) + np.uint64(0x9E3779B9)) * np.uint64(0xBF58476D1CE4E5B9)
-        mixed ^= mixed >> np.uint64(29)
-        live = np.arange(len(starts))
-        for i in range(int(min(lengths.max(), 32))):
-            live = live[lengths[live] > i]
-            h[live] = (h[live] ^ mixed[starts[live] + i]) * np.uint64(0x94D049BB133111EB)
-            h[live] ^= h[live] >> np.uint64(32)
-        out = np.zeros(len(starts))
-        short = lengths <= 32
-        _, first, which = np.unique(h[short], return_index=True, return_inverse=True)
-        s, e = starts[short][first].tolist(), stops[short][first].tolist()
-        piece = self.piece
-        out[short] = np.array([piece(joined[a:b]) for a, b in zip(s, e)], dtype=float)[which]
-        for i in np.flatnonzero(~short):
-            out[i] = piece(joined[starts[i] : stops[i]])
-        return out
+        at = byte_places(points)
+        state, total = self.transducer.run(np.frombuffer(joined.encode("utf-8", "surrogatepass"), np.uint8), at[starts], at[stops])
+        total += np.array(self.transducer.flush, np.int64)[state]
+        # Tokens of a segment: the difference of the running sum at its bounds.
+        upto = np.concatenate(([0], total.cumsum()))
+        return np.diff(upto[np.searchsorted(starts, ends)], prepend=0).tolist()
+
+    def _long(self, text: str) -> int:
+        """Tokens of one long segment, by slices that hand on the pattern's state and, inside a piece, the transducer's.
+
+        A slice's last character is read again by the next one, because the character after it may still end a piece before it.
+        """
+        t, total = self.transducer, 0
+        entry, inside, at = START, None, 0
+        while at < len(text):
+            if inside is None or inside == t.START:
+                t.reset_if_large()
+            end = min(len(text), at + SLICE_CHARS)
+            final = end == len(text)
+            part = text[at:end]
+            points = np.frombuffer(part.encode("utf-32-le", "surrogatepass"), np.uint32)
+            classes = class_table()[points]
+            if final:
+                classes = np.append(classes, np.uint8(END))
+            state = run_states(classes, entry)
+            cut = cuts(classes, state)
+            upto = len(part) if final else len(part) - 1
+            fresh_start = inside is None or bool(cut[0])
+            if inside is not None and fresh_start:
+                total += t.flush[inside]
+            cut[0] = True
+            bounds = np.append(np.flatnonzero(cut[:upto]), upto)
+            places = byte_places(points)
+            data = np.frombuffer(part.encode("utf-8", "surrogatepass"), np.uint8)
+            after, emitted = t.run(data, places[bounds[:-1]], places[bounds[1:]], t.START if fresh_start else inside)
+            total += int(emitted.sum()) + sum(t.flush[x] for x in after[:-1].tolist())
+            inside = int(after[-1])
+            if final:
+                return total + t.flush[inside]
+            entry, at = int(state[upto]), at + upto
+        return total
+
+
+def byte_places(points: np.ndarray) -> np.ndarray:
+    """UTF-8 place of every code point, and the end."""
+    width = 1 + (points >= 0x80).astype(np.int64) + (points >= 0x800) + (points >= 0x10000)
+    return np.concatenate(([0], width.cumsum()))
+
+
+def cuts(classes: np.ndarray, state: np.ndarray) -> np.ndarray:
+    """Where pieces begin, by the transitions' marks; one place more than characters."""
+    emitted = _ENDS_FLAT[state * np.uint8(12) + classes]
+    cut = np.zeros(len(classes) + 1, bool)
+    cut[:-1] = emitted & HERE != 0
+    last = np.flatnonzero(emitted & LAST) - 1
+    cut[last[last >= 0]] = True
+    return cut
 
 
 def byte_letters() -> dict[int, str]:
@@ -293,19 +454,7 @@ def _count_column(path: str):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         c = counter(path)
         for batch in batches:
-            out: list[int] = []
-            held: list[str] = []
-            size = 0
-            for x in batch:
-                text = x.as_py() or ""
-                held.append(text)
-                size += len(text) + 1
-                if size >= BATCH_CHARS:
-                    out += c.texts(held)
-                    held, size = [], 0
-            if held:
-                out += c.texts(held)
-            yield pa.array(out, pa.int64())
+            yield pa.array(c.texts([x.as_py() or "" for x in batch]), pa.int64())
 
     return F.arrow_udf(run, "long")
 

@@ -613,6 +613,30 @@ def test_token_counts_equal_library(spark):
         assert r["over_limit"] == (r["n_tokens"] > 512) and r["n_bytes"] == len(rows[r["doc_id"]].encode())
 
 
+def test_transducer_emits_what_merges_give():
+    own = token_counts.counter(public_tokenizers.path("byte_bpe_50k.json")).transducer
+    rnd = random.Random(22)
+    for _ in range(3000):
+        kind = rnd.choice([(b"ing", b"the", b"in", b"g"), b"abcdefghijklmnopqrstuvwxyz", b"aeinrst", bytes(range(256)), b"01", b" -_=*#", "éàüßñçè".encode()])
+        piece = b"".join(x if isinstance(x, bytes) else bytes([x]) for x in rnd.choices(kind, k=rnd.randint(1, 60)))
+        state, emitted = own.run_one(piece, own.START)
+        assert emitted + own.flush[state] == len(own.merge([own._first[b] for b in piece]))
+
+
+def test_slices_and_forgotten_states_give_the_same(monkeypatch):
+    from tokenizers import Tokenizer
+
+    path = public_tokenizers.path("byte_bpe_50k.json")
+    library = Tokenizer.from_file(path)
+    rnd = random.Random(23)
+    texts = ["".join(odd_texts(40, seed)) for seed in range(40)] + ["x" * 3000, " " * 500 + "a", "it's we're " * 90, "'re" * 200, "\u3000 \n " * 90, prose(8, 900)]
+    want = [len(e.ids) for e in library.encode_batch(texts, add_special_tokens=False)]
+    for size in (64, 65, 66, 67, 500):
+        monkeypatch.setattr(token_counts, "SLICE_CHARS", size)
+        monkeypatch.setattr(token_counts, "MOST_STATES", rnd.choice([3000, 250_000]))
+        assert token_counts.Counter(path).texts(texts) == want
+
+
 def test_scan_equals_sequential_run(monkeypatch):
     rng = np.random.default_rng(10)
     classes = rng.integers(0, 12, 5000).astype(np.uint8)
