@@ -6,23 +6,30 @@ Base kinds (leftmost, non-overlapping, per kind): ``assign`` (a keyword, a separ
 Kind ``random``: runs of 20 or more characters of ``[A-Za-z0-9+/_-]``, outside base spans (a run is cut at them). The smallest usual
 alphabet that holds the run is its inferred encoding. A run with signs of both base64 alphabets fits none: it is cut once at the signs
 of the one and once at those of the other, and each part of 20 or more characters is a run of its own; where random parts overlap, the
-span is all of them. Three tests look for departures from randomness: chi-squared uniformity over that alphabet, runs
-above and below the alphabet's middle, lag-1 serial correlation; Fisher's sum joins their p-values, and a run must pass at RANDOM_P.
-Against prose, the likelihood ratio of the uniform alphabet to a model of written words, numbers and identifiers (rare changes between
-lower case, capitals, digits and signs) is an e-value: its inverse is a p-value, smaller the longer a random run is. Benjamini-Hochberg
-at FDR over a document's runs with an inferred encoding decides; others, such as plain words, are no hypotheses.
+span is all of them.
+
+Three tests look for departures from randomness over that alphabet: chi-squared uniformity, runs of one character class (lower case,
+capitals, digits, signs), lag-1 serial correlation. The battery's statistic is Fisher's sum of their p-values. A secret is a discovery against the hypothesis that
+a run was written (words, numbers, identifiers): its p-value is the chance that a written run of this alphabet and this length has a
+statistic as small. The statistic of written runs grows with their length, so the same randomness says more in a longer run. That law
+is simulated once, from a chain of character classes with letter shares that fall as 1 / (rank + 2) (two letters are equal
+with a chance of 0.061, in European languages of 0.065 and more), and its cube root is taken as normal below the median. Benjamini-Hochberg at FDR over a document's runs with an inferred encoding decides;
+others, such as plain words, are no hypotheses. A discovery must also be random itself: Fisher's own p-value is at least RANDOM_P.
 
 Offsets are code points, ends exclusive. Defined results: a null text is empty; a text without a match has the digest of the empty
-string; repeated rows are rows of their own; only the text column is read.
+string; an empty table gives no row; repeated rows are rows of their own; equal p-values go together, by the rule of the largest rank;
+texts are read whole, in time that follows their length; only the id and text columns are read, so others may have any name.
 """
 
 from __future__ import annotations
 
+import functools
 import hashlib
 import math
 import re
 from collections.abc import Iterator
 
+import numpy as np
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
@@ -37,7 +44,9 @@ RUN = re.compile(r"[A-Za-z0-9+/_-]{20,}")
 _SIGNS, _URL_SIGNS = re.compile("[+/]"), re.compile("[_-]")
 _WITHOUT_SIGNS, _WITHOUT_URL_SIGNS = re.compile(r"[A-Za-z0-9_-]{20,}"), re.compile(r"[A-Za-z0-9+/]{20,}")
 KINDS = ("assign", "access", "hex", "random")
-RANDOM_P, FDR = 0.001, 0.001
+RANDOM_P, FDR = 0.001, 0.01
+#: Lengths and number of the runs from which the law of written runs is simulated.
+LAW_LENGTHS, LAW_RUNS = (20, 26, 34, 45, 60, 90, 150, 300), 1000
 
 _DIGITS, _LOWER, _UPPER = "0123456789", "abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ"
 ALPHABETS = [
@@ -50,10 +59,10 @@ ALPHABETS = [
     ("base64", _UPPER + _LOWER + _DIGITS + "+/"),
     ("base64url", _UPPER + _LOWER + _DIGITS + "-_"),
 ]
-_INDEX = [(name, {c: i for i, c in enumerate(chars)}) for name, chars in ALPHABETS]
+#: Codes follow the order of the characters themselves, in which capitals, digits and lower case lie apart.
+_INDEX = [(name, {c: i for i, c in enumerate(sorted(chars))}) for name, chars in ALPHABETS]
 _CLASS = {c: k for k, chars in enumerate((_LOWER, _UPPER, _DIGITS, "+/_-")) for c in chars}
-_WITHIN = (26, 26, 10, 4)
-#: How written words, numbers and identifiers go on, from and to lower case, capitals, digits and signs; first characters are even.
+#: How written words, numbers and identifiers go on, from and to lower case, capitals, digits and signs; first classes are even.
 _GOES_ON = ((0.80, 0.12, 0.04, 0.04), (0.60, 0.32, 0.04, 0.04), (0.06, 0.06, 0.80, 0.08), (0.40, 0.25, 0.25, 0.10))
 
 
@@ -69,36 +78,44 @@ def _upper(z: float) -> float:
     return 0.5 * math.erfc(z / math.sqrt(2))
 
 
-def battery(codes: list[int], k: int) -> tuple[float, float, float]:
-    """p-values of chi-squared uniformity, runs and serial correlation; each is 1 where a test says nothing."""
-    n = len(codes)
-    counts = [0] * k
-    for c in codes:
-        counts[c] += 1
-    chi = sum(c * c for c in counts) * k / n - n
+def batteries(codes: np.ndarray, k: int, groups: np.ndarray | None = None) -> np.ndarray:
+    """p-values of chi-squared uniformity, runs and serial correlation for each line of codes, which are 0 to k-1.
+
+    A run is a stretch of one of `groups` (a number for each code; by default the lower and the upper half of the alphabet).
+    """
+    m, n = codes.shape
+    counts = np.bincount((np.arange(m)[:, None] * k + codes).ravel(), minlength=m * k).reshape(m, k)
+    chi = (counts.astype(np.float64) ** 2).sum(1) * k / n - n
     d = k - 1
-    p_chi = _upper(((max(chi, 0.0) / d) ** (1 / 3) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d)))
-    high = [2 * c >= k for c in codes]
-    n1 = sum(high)
-    n0 = n - n1
-    p_runs = p_serial = 1.0
-    if n0 and n1:
-        runs = 1 + sum(a != b for a, b in zip(high, high[1:]))
-        mean = 1 + 2 * n0 * n1 / n
-        var = (mean - 1) * (mean - 2) / (n - 1)
-        if var > 0:
-            p_runs = 2 * _upper(abs(runs - mean) / math.sqrt(var))
-    m = sum(codes) / n
-    var = sum((c - m) ** 2 for c in codes)
-    if var > 0:
-        r = sum((a - m) * (b - m) for a, b in zip(codes, codes[1:])) / var
-        p_serial = 2 * _upper(abs(r + 1 / n) * math.sqrt(n))
-    return p_chi, min(1.0, p_runs), min(1.0, p_serial)
+    z_chi = (np.cbrt(np.maximum(chi, 0.0) / d) - (1 - 2 / (9 * d))) / math.sqrt(2 / (9 * d))
+    # Shares and moments are those of the alphabet, not of the run: a run all in one corner of it isn't random.
+    groups = 2 * np.arange(k) // k if groups is None else groups
+    shares = np.bincount(groups) / k
+    change, twice = 1 - (shares**2).sum(), (shares**2).sum() ** 2
+    # Neighbouring changes share a character; their covariance is that of two equalities.
+    joint = (shares**3).sum() - twice
+    var = (n - 1) * change * (1 - change) + 2 * max(0, n - 2) * joint
+    own = groups[codes]
+    z_runs = ((own[:, 1:] != own[:, :-1]).sum(1) - (n - 1) * change) / math.sqrt(max(var, 1e-9))
+    centred = codes - (k - 1) / 2
+    z_serial = (centred[:, 1:] * centred[:, :-1]).sum(1) / ((k * k - 1) / 12) / math.sqrt(n - 1)
+    upper = lambda z: np.array([_upper(x) for x in z.tolist()])
+    return np.stack([upper(z_chi), np.minimum(1.0, 2 * upper(abs(z_runs))), np.minimum(1.0, 2 * upper(abs(z_serial)))], 1)
+
+
+def battery(codes: list[int], k: int, groups: np.ndarray | None = None) -> tuple[float, float, float]:
+    """The p-values of one run."""
+    return tuple(batteries(np.array([codes]), k, groups)[0].tolist())
+
+
+def fisher_sum(ps: np.ndarray) -> np.ndarray:
+    """Minus the sum of the logs of each line."""
+    return -np.log(np.maximum(ps, 1e-300)).sum(-1)
 
 
 def fisher(ps: tuple[float, ...]) -> float:
-    """Survival of Fisher's sum of logs, chi-squared with 2 degrees of freedom for each p-value."""
-    x = -sum(math.log(max(p, 1e-300)) for p in ps)
+    """Survival of Fisher's sum, chi-squared with 2 degrees of freedom for each p-value."""
+    x = float(fisher_sum(np.array(ps)))
     term = total = 1.0
     for i in range(1, len(ps)):
         term *= x / i
@@ -106,15 +123,48 @@ def fisher(ps: tuple[float, ...]) -> float:
     return min(1.0, math.exp(-x) * total)
 
 
-def prose_p(run: str, k: int) -> float:
-    """Inverse likelihood ratio of the uniform alphabet to the prose model."""
-    ratio, before = 0.0, -1
-    for c in run:
-        cls = _CLASS[c]
-        p = (0.25 if before < 0 else _GOES_ON[before][cls]) / _WITHIN[cls]
-        ratio -= math.log(k * p)
-        before = cls
-    return math.exp(-max(0.0, ratio))
+@functools.cache
+def groups_of(name: str) -> np.ndarray:
+    """Character class of each code of an alphabet."""
+    return np.array([_CLASS[c] for c in sorted(dict(ALPHABETS)[name])])
+
+
+@functools.cache
+def written_law(name: str) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+    """For written runs of an alphabet: logs of some lengths, and there median and lower spread of the cube root of Fisher's sum."""
+    of = groups_of(name)
+    classes = np.unique(of)
+    members = [np.flatnonzero(of == c) for c in classes]
+    go = np.array(_GOES_ON)[np.ix_(classes, classes)]
+    upto = (go / go.sum(1, keepdims=True)).cumsum(1)
+    rng = np.random.default_rng(11)
+    medians, spreads = [], []
+    for n in LAW_LENGTHS:
+        cls = np.empty((LAW_RUNS, n), np.int64)
+        cls[:, 0] = rng.integers(0, len(classes), LAW_RUNS)
+        for i in range(1, n):
+            cls[:, i] = (rng.random(LAW_RUNS)[:, None] > upto[cls[:, i - 1], :-1]).sum(1)
+        cls = cls[(cls != cls[:, :1]).any(1)]  # of one class alone nothing is inferred
+        codes = np.zeros_like(cls)
+        for c, own in enumerate(members):
+            # Each run has its own order of frequent and rare letters. Digits and signs are all equal.
+            weights = 1 / (np.arange(len(own)) + 3.0) if len(own) > 10 else np.ones(len(own))
+            rank = np.searchsorted((weights / weights.sum()).cumsum()[:-1], rng.random(cls.shape))
+            letters = own[np.argsort(rng.random((len(cls), len(own))), 1)]
+            codes = np.where(cls == c, np.take_along_axis(letters, rank, 1), codes)
+        x = np.cbrt(fisher_sum(batteries(codes, len(of), of)))
+        median = np.median(x)
+        medians.append(median)
+        spreads.append(math.sqrt(((x[x < median] - median) ** 2).mean()))
+    return np.log(LAW_LENGTHS), np.array(medians), np.array(spreads)
+
+
+def written_p(ps: tuple[float, ...], n: int, name: str) -> float:
+    """Chance that a written run of `n` characters is as random as these p-values say, or more."""
+    lengths, medians, spreads = written_law(name)
+    x = math.log(n)
+    median, spread = float(np.interp(x, lengths, medians)), float(np.interp(x, lengths, spreads))
+    return _upper((median - math.cbrt(float(fisher_sum(np.array(ps))))) / spread)
 
 
 def runs(text: str, taken: list[tuple[int, int]]) -> Iterator[tuple[int, int]]:
@@ -149,11 +199,9 @@ def random_spans(text: str, taken: list[tuple[int, int]]) -> list[tuple[int, int
         found = infer_encoding(run)
         if not found:
             continue
-        index = found[1]
-        p = 1.0
-        if fisher(battery([index[c] for c in run], len(index))) >= RANDOM_P:
-            p = prose_p(run, len(index))
-        tested.append((p, s, e))
+        name, index = found
+        ps = battery([index[c] for c in run], len(index), groups_of(name))
+        tested.append((written_p(ps, e - s, name) if fisher(ps) >= RANDOM_P else 1.0, s, e))
     tested.sort()
     keep = max((i for i, (p, _, _) in enumerate(tested, 1) if p <= FDR * i / len(tested)), default=0)
     spans: list[tuple[int, int]] = []

@@ -365,6 +365,58 @@ def test_plain_words_leave_recall_as_it_is():
         assert sum(map(bool, found)) >= least * len(keys)
 
 
+def test_keys_planted_in_the_table(spark):
+    rnd = random.Random(24)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    found = collections.Counter()
+    texts = [r["text"] or "" for r in read_table(spark, MEDIUM, "documents").select("text").collect()]
+    for text in texts:
+        assert "random" not in secret_scan._joined(secret_scan.scan(text)[1])
+        for n in (24, 32, 40):
+            at = rnd.choice([m.end() for m in re.finditer(r"\s", text)] or [0])
+            key = "".join(rnd.choice(chars) for _ in range(n))
+            spans = secret_scan.scan(f"{text[:at]} {key} {text[at:]}")[1]
+            found[n] += (at + 1, 3, at + 1 + n) in spans
+    assert found[24] > 0.8 * len(texts) and found[32] > 0.93 * len(texts) and found[40] > 0.97 * len(texts)
+
+
+def test_written_runs_are_rarely_discoveries():
+    rnd = random.Random(25)
+    made = []
+    for _ in range(3000):
+        parts = [rnd.choice(WORDS) for _ in range(9)]
+        made.append(rnd.choice([lambda p: "".join(map(str.title, p)), lambda p: "_".join(p) + str(rnd.randint(0, 99)), lambda p: "-".join(p).title(), lambda p: "/".join(p) + f"/{rnd.randint(2000, 2030)}"])(parts))
+    assert sum(bool(secret_scan.random_spans(f"see {x} there", [])) for x in made) < 0.01 * len(made)
+
+
+def test_discoveries_follow_the_rule_by_definition():
+    rnd = random.Random(26)
+    chars = "ABCDEFGHIJKLMNOPQRSTUVWXYZabcdefghijklmnopqrstuvwxyz0123456789"
+    for _ in range(60):
+        parts = ["".join(rnd.choice(chars[: rnd.choice([30, 40, 62])]) for _ in range(rnd.randint(20, 34))) for _ in range(rnd.randint(1, 30))]
+        ps = []
+        for x in parts:
+            name, index = secret_scan.infer_encoding(x) or (None, None)
+            if name:
+                tests = secret_scan.battery([index[c] for c in x], len(index), secret_scan.groups_of(name))
+                ps.append((x, secret_scan.written_p(tests, len(x), name) if secret_scan.fisher(tests) >= secret_scan.RANDOM_P else 1.0))
+        limit = max((p for _, p in ps if p <= secret_scan.FDR * sum(q <= p for _, q in ps) / len(ps)), default=-1.0)
+        text = " ".join(parts)
+        assert {text[a:b] for a, b in secret_scan.random_spans(text, [])} == {x for x, p in ps if p <= limit}
+
+
+def test_overlaps_cost_linear_time():
+    import time
+
+    text = " ".join(f'token="{i:016x}abcdefgh" AbCdEfGhIjKlMnOpQrSt{i:04d}' for i in range(4000))
+    seconds = []
+    for t in (text, text + " " + text):
+        start = time.perf_counter()
+        secret_scan.scan(t)
+        seconds.append(time.perf_counter() - start)
+    assert seconds[1] < 3.2 * seconds[0]
+
+
 def test_battery_p_values_are_about_uniform():
     rng = np.random.default_rng(7)
     ps = np.array([secret_scan.battery(rng.integers(0, 16, 200).tolist(), 16) for _ in range(400)])
