@@ -434,7 +434,7 @@ def find(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, tex
     # Texts of the members only; equal keys are equal texts.
     wanted = Members(spark, members.select(F.xxhash64("copy_id", "own_md5").alias("h")), total["n"])
     some = plain.where(wanted.may_hold(F.xxhash64("doc_id", "text_md5"))).groupBy(F.col("doc_id").alias("copy_id"), F.col("text_md5").alias("own_md5")).agg(F.first("text").alias("text"))
-    found = placed.join(some, [placed["copy_id"].eqNullSafe(some["copy_id"]), placed["own_md5"] == some["own_md5"]]).select("node", "docs", "sig", "tile", "large", "text")
+    found = scratch.write(placed.join(some, [placed["copy_id"].eqNullSafe(some["copy_id"]), placed["own_md5"] == some["own_md5"]]).select("node", "docs", "sig", "tile", "large", "text"), "texts")
     ends = pairs.where("first <> second")
     meeting = ends.select(F.col("first").alias("tile"), "first", "second").unionByName(ends.select(F.col("second").alias("tile"), "first", "second"))
     sent = found.select("node", "docs", "sig", "text", "tile", F.col("tile").alias("first"), F.col("tile").alias("second"), F.when(F.col("large"), F.xxhash64("tile", F.lit(0))).otherwise(F.pmod(F.xxhash64("tile"), F.lit(units))).alias("unit"), "large")
