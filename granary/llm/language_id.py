@@ -6,12 +6,14 @@ the set starts with the single best language and takes in languages, or leaves t
 a log of the number of trigrams for each further language, and one) grows; it may come to hold all learned languages. The language of
 the largest proportion is predicted; its proportion is the score.
 
-Training counts come from a bounded sample: about `rows_per_language` labelled documents of each language, chosen by a hash of all
-labelled rows. The model has at most BUCKETS numbers per language, so it is sent to every task.
+Training counts come from a bounded sample: about `rows_per_language` different labelled texts of each language, chosen by a hash of the
+text (how many there are is counted by a sketch); copies of a text count once. No id is read. The model has at most BUCKETS numbers per
+language, so it is sent to every task.
 
 Defined results: a null text, or one without a letter, is `und` with score 0; rows without a language are not learned from but are
-predicted; without any labelled row everything is `und`; ties go to the language first in order; the law of a text does not depend on
-other columns. Very long texts are read whole.
+predicted; without any labelled row everything is `und`; ties go to the language first in order; repeated rows have equal predictions;
+an empty table gives no row; new columns whose names are taken get a number; the law of a text does not depend on other columns. Very
+long texts are read whole.
 """
 
 from __future__ import annotations
@@ -88,16 +90,15 @@ class Model:
         self.log_p = np.log(self.p)
 
 
-def train(spark: SparkSession, labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, text: str = "text", lang: str = "lang", id_col: str = "doc_id") -> Model:
-    """Learn from rows with a text and a language. The id only spreads copies of one text over the choice of the sample."""
+def train(spark: SparkSession, labelled: DataFrame, rows_per_language: int = ROWS_PER_LANGUAGE, text: str = "text", lang: str = "lang") -> Model:
+    """Learn from rows with a text and a language."""
     ship_package(spark)
-    chance = F.pmod(F.xxhash64(text, id_col), F.lit(1 << 30))
-    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), chance.alias("chance")).where("lang is not null and text is not null")
-    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.count(F.lit(1)).alias("n")).collect()}
+    rows = labelled.select(F.col(lang).alias("lang"), F.col(text).alias("text"), F.xxhash64(text).alias("hash")).where("lang is not null and text is not null")
+    sizes = {r["lang"]: r["n"] for r in rows.groupBy("lang").agg(F.approx_count_distinct("hash", 0.02).alias("n")).collect()}
     if not sizes:
         return Model([], np.zeros((BUCKETS, 0)))
-    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, rows_per_language / n) * (1 << 30))))])
-    sample = rows.where(F.col("chance") < share[F.col("lang")])
+    share = F.create_map(*[x for k, n in sizes.items() for x in (F.lit(k), F.lit(int(min(1.0, rows_per_language / max(1, n)) * (1 << 30))))])
+    sample = rows.where(F.pmod(F.xxhash64("hash"), F.lit(1 << 30)) < share[F.col("lang")]).dropDuplicates(["lang", "hash"])
     counted = sample.select("lang", "text").mapInArrow(_train_batches, "lang string, bucket int, n long").groupBy("lang", "bucket").agg(F.sum("n").alias("n")).toArrow()
     languages = sorted(sizes)
     column = {x: i for i, x in enumerate(languages)}
@@ -182,7 +183,9 @@ def predictor(spark: SparkSession, model: Model):
 def identify(spark: SparkSession, docs: DataFrame, model: Model, text: str = "text") -> DataFrame:
     """`docs` with the prediction in new columns."""
     (r,) = fresh(docs, "_language")
-    return docs.withColumn(r, predictor(spark, model)(F.col(text))).select(*docs.columns, f"{r}.lang_pred", f"{r}.score", f"{r}.languages", f"{r}.proportions")
+    names = ["lang_pred", "score", "languages", "proportions"]
+    new = [F.col(f"{r}.{n}").alias(c) for n, c in zip(names, fresh(docs, *names))]
+    return docs.withColumn(r, predictor(spark, model)(F.col(text))).select(*docs.columns, *new)
 
 
 def held_out(doc_id: Column) -> Column:
