@@ -2,16 +2,16 @@
 
 Two zstandard dictionaries are built, from chunks of good and of bad labelled texts. Every chunk of a text is compressed with both, and
 the text's normalised difference is (bytes with the bad dictionary - bytes with the good one) / (sum of both): above zero where the
-text is more like the good ones. Logistic regression on labelled rows that built no dictionary turns the difference, the same
-difference of the chunk most like the bad ones (the last of several chunks is filled up from the one before it), and the compressed share of the bytes (endless repeats compress to nothing) into the
-score.
+text is more like the good ones. Logistic regression on labelled texts that built no dictionary calibrates the difference to the score.
 
-Bounds: the dictionaries are built from about SAMPLE_CHUNKS chunks of each class and the regression from about CALIBRATION_ROWS rows,
-both chosen by a hash of all labelled rows; a dictionary has at most DICT_BYTES bytes.
+Bounds: the dictionaries are built from about SAMPLE_CHUNKS chunks of each class, chosen by a hash of the text and the chunk's place, and
+the regression from about CALIBRATION_ROWS texts, chosen by a hash of the text; copies of a text count once; a dictionary has at most
+DICT_BYTES bytes. A hash of the text says which half a text is in. If a class has texts in one half only, both steps use all of them.
 
-Defined results: a null text is empty, and an empty text has difference 0; several labels of one document count as bad if any is bad;
-null labels are ignored; if a class has no labelled row, every score is the share of good labels (1 without any label); texts are
-compressed whole, in chunks; extra columns are ignored.
+Defined results: a null text is empty, and an empty text has difference 0; several labels of one text count as bad if any is bad; null
+labels are ignored; if a class has no labelled text that isn't empty, every score is the share of good labels (1 without any label);
+repeated rows and equal texts have equal scores, and a score at THRESHOLD counts as good; an empty table gives no row; texts are
+compressed whole, in chunks; only the named columns are read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -24,11 +24,10 @@ import zstandard
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from granary.session import ship_package
+from granary.session import Scratch, ship_package
 
 CHUNK, LEVEL, DICT_BYTES = 2048, 3, 65_536
 SAMPLE_CHUNKS, CALIBRATION_ROWS, THRESHOLD = 2500, 8000, 0.3
-FEATURES = ("difference", "least", "share")
 
 
 def chunks(text: str | None) -> list[bytes]:
@@ -47,8 +46,8 @@ class Model:
     def __getstate__(self):
         return self.__dict__ | {"_ready": None}
 
-    def differences(self, text: str | None) -> tuple[float, float, float]:
-        """Of the whole text, and of its least chunk; log of the compressed share of its bytes."""
+    def difference(self, text: str | None) -> float:
+        """The normalised difference of compressed sizes of the whole text."""
         if self._ready is None:
             made = []
             for d in (self.good, self.bad):
@@ -58,20 +57,13 @@ class Model:
             self._ready = tuple(made)
         good, bad = self._ready
         pieces = chunks(text)
-        sizes = [(len(good(c)), len(bad(c))) for c in pieces]
-        if not sizes:
-            return 0.0, 0.0, 0.0
-        g, b = (sum(x) for x in zip(*sizes))
-        if len(pieces) > 1 and len(pieces[-1]) < CHUNK:
-            last = (pieces[-2] + pieces[-1])[-CHUNK:]
-            sizes[-1] = (len(good(last)), len(bad(last)))
-        whole = [(y - x) / (x + y) for x, y in sizes]
-        return (b - g) / (b + g), min(whole), float(np.log((g + b) / 2 / sum(map(len, pieces))))
+        g, b = sum(len(good(c)) for c in pieces), sum(len(bad(c)) for c in pieces)
+        return (b - g) / (b + g) if pieces else 0.0
 
     def score(self, text: str | None) -> float:
         if self.weights is None:
             return self.base
-        return logistic(self.weights, np.array([self.differences(text)]))[0].item()
+        return logistic(self.weights, np.array([[self.difference(text)]]))[0].item()
 
 
 def logistic(weights: list[float], x: np.ndarray) -> np.ndarray:
@@ -105,49 +97,58 @@ def _dictionary(samples: list[bytes]) -> bytes:
 
 
 def _chunk_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """The chunks of each text at the given places."""
     for batch in batches:
         labels, out = [], []
-        for y, text in zip(batch.column(0).to_pylist(), batch.column(1)):
-            own = chunks(text.as_py())
-            labels += [y] * len(own)
-            out += own
+        for y, text, places in zip(batch.column(0).to_pylist(), batch.column(1), batch.column(2).to_pylist()):
+            data = text.as_py().encode("utf-8", "surrogatepass")
+            labels += [y] * len(places)
+            out += [data[p * CHUNK : (p + 1) * CHUNK] for p in places]
         yield pa.RecordBatch.from_arrays([pa.array(labels, pa.int32()), pa.array(out, pa.binary())], ["y", "chunk"])
 
 
 def _difference_column(model: Model):
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
-            yield pa.array([dict(zip(FEATURES, model.differences(x.as_py()))) for x in batch], pa.struct([(f, pa.float64()) for f in FEATURES]))
+            yield pa.array([model.difference(x.as_py()) for x in batch], pa.float64())
 
-    return F.arrow_udf(run, ", ".join(f"{f} double" for f in FEATURES))
+    return F.arrow_udf(run, "double")
 
 
 def train(spark: SparkSession, docs: DataFrame, labels: DataFrame, label: str = "quality", text: str = "text", id_col: str = "doc_id") -> Model:
-    """Learn from the documents that have a label."""
+    """Learn from the documents that have a label. Ids only join labels to texts."""
     ship_package(spark)
     marks = labels.where(F.col(label).isNotNull()).groupBy(F.col(id_col).alias("id")).agg(F.min(F.col(label).cast("int")).alias("y"))
-    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text"))
-    # Rows are counted and chosen by narrow columns; only the chosen ones, of a bounded number, meet the texts.
-    half = F.pmod(F.xxhash64("text", F.lit(5)), F.lit(2))  # one half builds dictionaries, the other calibrates
-    narrow = texts.select("id", F.xxhash64("text").alias("hash"), half.alias("half"), F.ceil(F.octet_length("text") / CHUNK).alias("chunks")).join(marks, "id")
+    texts = docs.select(F.col(id_col).alias("id"), F.coalesce(F.col(text), F.lit("")).alias("text")).withColumn("hash", F.xxhash64("text"))
+    # Texts are counted and chosen by narrow columns; only the chosen ones, of a bounded number, meet the texts.
+    half = F.pmod(F.xxhash64("hash", F.lit(5)), F.lit(2))
+    narrow = texts.select("id", "hash", F.ceil(F.octet_length("text") / CHUNK).cast("long").alias("chunks")).join(marks, "id")
+    narrow = narrow.groupBy("hash").agg(F.min("y").alias("y"), F.max("chunks").alias("chunks")).withColumn("half", half)
     known = {(r["y"], r["half"]): (r["n"], r["chunks"]) for r in narrow.groupBy("y", "half").agg(F.count(F.lit(1)).alias("n"), F.sum("chunks").alias("chunks")).collect()}
     n = {y: sum(v[0] for k, v in known.items() if k[0] == y) for y in (0, 1)}
     base = n[1] / (n[0] + n[1]) if n[0] + n[1] else 1.0
-    pieces = {y: known.get((y, 0), (0, 0))[1] for y in (0, 1)}
-    if not all(pieces.values()) or not all(known.get((y, 1)) for y in (0, 1)):
+    if not all(known.get((y, 0), (0, 0))[1] + known.get((y, 1), (0, 0))[1] for y in (0, 1)):
         return Model(b"", b"", base)
-    second = known[(0, 1)][0] + known[(1, 1)][0]
-    share = F.when(F.col("half") == 1, F.lit(CALIBRATION_ROWS / second)).when(F.col("y") == 1, F.lit(4 * SAMPLE_CHUNKS / pieces[1])).otherwise(F.lit(4 * SAMPLE_CHUNKS / pieces[0]))
-    chosen = narrow.where(F.pmod(F.xxhash64("hash", "id"), F.lit(1 << 30)) < F.least(share, F.lit(1.0)) * (1 << 30)).select("id", "hash", "half", "y").distinct()
-    some = texts.join(F.broadcast(chosen), "id").where(F.xxhash64("text") == F.col("hash"))
-    cut = some.where("half = 0").select("y", "text").mapInArrow(_chunk_batches, "y int, chunk binary")
-    keep = F.when(F.col("y") == 1, F.lit(max(0.25, SAMPLE_CHUNKS / pieces[1]))).otherwise(F.lit(max(0.25, SAMPLE_CHUNKS / pieces[0])))
-    sample = sorted((r["y"], bytes(r["chunk"])) for r in cut.where(F.pmod(F.xxhash64("chunk"), F.lit(1 << 30)) < F.least(keep, F.lit(1.0)) * (1 << 30)).collect())
+    split = all(known.get((y, h), (0, 0))[1] for y in (0, 1) for h in (0, 1))
+    builds, calibrates = (F.col("half") == 0, F.col("half") == 1) if split else (F.lit(True), F.lit(True))
+    pieces = {y: sum(v[1] for k, v in known.items() if k[0] == y and (k[1] == 0 or not split)) for y in (0, 1)}
+    second = sum(v[0] for k, v in known.items() if k[1] == 1 or not split)
+    below = lambda share: F.least(share, F.lit(1.0)) * (1 << 30)
+    share = F.when(F.col("y") == 1, F.lit(SAMPLE_CHUNKS / pieces[1])).otherwise(F.lit(SAMPLE_CHUNKS / pieces[0]))
+    every = F.when(builds & (F.col("chunks") > 0), F.sequence(F.lit(0).cast("long"), F.col("chunks") - 1)).otherwise(F.array().cast("array<bigint>"))
+    places = F.filter(every, lambda p: F.pmod(F.xxhash64("hash", p), F.lit(1 << 30)) < below(share))
+    used = calibrates & (F.pmod(F.xxhash64("hash", F.lit(9)), F.lit(1 << 30)) < below(F.lit(CALIBRATION_ROWS / max(1, second))))
+    chosen = narrow.select("hash", "y", places.alias("places"), used.alias("used")).where((F.size("places") > 0) | F.col("used"))
+    some = texts.join(F.broadcast(chosen), "hash").select("hash", "y", "places", "used", "text").dropDuplicates(["hash"])
+    scratch = Scratch(spark, "labelled")
+    some = scratch.write(some, "some")
+    cut = some.where(F.size("places") > 0).select("y", "text", "places").mapInArrow(_chunk_batches, "y int, chunk binary")
+    sample = sorted((r["y"], bytes(r["chunk"])) for r in cut.collect())
     model = Model(_dictionary([c for y, c in sample if y == 1]), _dictionary([c for y, c in sample if y == 0]), base)
-    used = some.where("half = 1").select("y", _difference_column(model)(F.col("text")).alias("d"))
-    got = np.array(sorted((r["y"], *r["d"]) for r in used.collect()))
+    got = np.array(sorted((r["y"], r["d"]) for r in some.where("used").select("y", _difference_column(model)(F.col("text")).alias("d")).collect()))
     if len(got) and 0 < got[:, 0].mean() < 1:
         model.weights = fit_logistic(got[:, 1:], got[:, 0])
+    scratch.close()
     return model
 
 
