@@ -77,6 +77,48 @@ def test_language_mixture_of_more_than_three():
         assert max(abs(dict(zip(chosen, pi))[i] - x) for i, x in enumerate(shares)) < 0.05
 
 
+def plain_mixture(counts: dict[int, int], p: np.ndarray) -> tuple[dict[int, float], float]:
+    """The best set of languages over all sets, by plain EM and the penalised likelihood."""
+    import itertools
+
+    total = sum(counts.values())
+    best, out = -np.inf, {}
+    for size in range(1, p.shape[1] + 1):
+        for chosen in itertools.combinations(range(p.shape[1]), size):
+            pi = [1 / size] * size
+            for _ in range(400):
+                part = [0.0] * size
+                for x, n in counts.items():
+                    whole = sum(w * p[x, c] for w, c in zip(pi, chosen))
+                    for k, c in enumerate(chosen):
+                        part[k] += n * pi[k] * p[x, c] / whole
+                pi = [v / total for v in part]
+            fit = sum(n * np.log(sum(w * p[x, c] for w, c in zip(pi, chosen))) for x, n in counts.items())
+            fit -= (size - 1) * (0.5 * np.log(total + 1) + 1)
+            if fit > best:
+                best, out = fit, dict(zip(chosen, pi))
+    return out, best
+
+
+def test_mixture_equals_plain_search_over_all_sets():
+    rng = np.random.default_rng(29)
+    for _ in range(12):
+        p = rng.dirichlet(np.full(25, 0.3), 3).T + 1e-6
+        p /= p.sum(0)
+        n = rng.multinomial(int(rng.integers(30, 400)), p @ rng.dirichlet(np.full(3, 0.5)))
+        seen = np.flatnonzero(n)
+        chosen, pi = language_id.mixture(p[seen], np.log(p[seen]), n[seen])
+        want, _ = plain_mixture({x: int(n[x]) for x in seen}, p)
+        assert sorted(chosen) == sorted(want) and max(abs(want[c] - w) for c, w in zip(chosen, pi)) < 0.02
+
+
+def test_language_ties_and_clashing_names(spark):
+    docs = spark.createDataFrame([(1, "abc abc", "b", 7), (2, "abc abc", "a", 8)], "doc_id long, text string, lang string, score int")
+    got = language_id.identify(spark, docs, language_id.train(spark, docs))
+    assert got.columns == ["doc_id", "text", "lang", "score", "lang_pred", "score_1", "languages", "proportions"]
+    assert [(r["lang_pred"], r["score"]) for r in got.orderBy("doc_id").collect()] == [("a", 7), ("a", 8)]
+
+
 def test_language_edges(spark, odd, none):
     model = language_id.train(spark, odd)
     rows = language_id.identify(spark, odd, model).select("doc_id", "text", F.col("lang_pred")).collect()
@@ -102,13 +144,32 @@ def test_quality_held_out(spark):
     assert ((got.score >= 0.3) == (got.predicted == 1)).all()
 
 
-def test_least_chunk_sees_the_end_of_a_text():
+def test_difference_and_score_by_definition():
+    import zstandard
+
     good, bad = prose(15, 4000).encode(), b" ".join(b"%x" % (i * 7919) for i in range(8000))
     model = quality_classifier.Model(good, bad, 0.5)
-    clean, spoilt = good[:2048], bad[20_000:22_000]
-    _, least, _ = model.differences((clean + spoilt).decode())
-    assert least < 0 < model.differences(clean.decode())[1]
-    assert model.differences(spoilt.decode())[1] < 0
+    model.weights = [0.0, 1.0, 0.3, 0.01, 0.2, 1.7]
+    rnd = random.Random(28)
+    for _ in range(40):
+        text = " ".join(rnd.choice([prose(rnd.randint(0, 99), 30), "%x" % rnd.getrandbits(900), "é ß 中"]) for _ in range(rnd.randint(0, 30)))
+        sizes = []
+        for d in (good, bad):
+            size = 0
+            for at in range(0, len(text.encode()), 2048):
+                one = zstandard.ZstdCompressor(level=3, dict_data=zstandard.ZstdCompressionDict(d), write_content_size=False, write_checksum=False, write_dict_id=False)
+                size += len(one.compress(text.encode()[at : at + 2048]))
+            sizes.append(size)
+        want = (sizes[1] - sizes[0]) / sum(sizes) if text else 0.0
+        assert model.difference(text) == want
+        assert abs(model.score(text) - 1 / (1 + np.exp(-(0.3 + 1.7 * (want - 0.01) / 0.2)))) < 1e-12
+
+
+def test_labels_of_copies_and_of_few_texts_still_teach(spark):
+    good, bad = prose(16, 900), " ".join("%x" % (i * 7919) for i in range(900))
+    docs = spark.createDataFrame([(i, good if i % 2 else bad) for i in range(400)], "doc_id long, text string")
+    model = quality_classifier.train(spark, docs, docs.select("doc_id", (F.col("doc_id") % 2).alias("quality")))
+    assert model.score(good[:600]) > 0.5 > model.score(bad[:600])
 
 
 def test_quality_edges(spark, odd, none):
@@ -471,6 +532,31 @@ def test_tiling_equals_definition():
         assert (found[0]["matched_tokens"] if found else 0) == brute_tiling(item, doc, 3)
 
 
+def test_tiles_and_ties_equal_definition():
+    rnd = random.Random(27)
+    for _ in range(150):
+        a = [rnd.randint(1, 3) for _ in range(rnd.randint(0, 30))]
+        b = [rnd.randint(0, 3) for _ in range(rnd.randint(0, 40))]
+        assert sum(t[2] for t in decontamination.tile(np.array(a, np.int32), np.array(b, np.int32), 3)) == brute_tiling(a, b, 3)
+
+
+def test_repeated_lines_cost_no_product():
+    import time
+
+    line = prose(70, 8)
+    index = decontamination.Index([(1, " . ".join([line] * 200)), (2, prose(71, 40))])
+    start = time.perf_counter()
+    (found,) = index.matches("\n".join([line] * 20_000))
+    assert found["item_id"] == 1 and found["coverage"] == 1.0 and time.perf_counter() - start < 20
+
+
+def test_short_items_and_scripts_without_blanks():
+    index = decontamination.Index([(1, "Two words"), (2, "今天的天气非常好我们去公园散步吧"), (3, ""), (4, "!!")])
+    ids = lambda t: [m["item_id"] for m in index.matches(t)]
+    assert ids("two  WORDS!") == [1] and ids("two words more") == [] and ids("") == [] and ids("!!") == []
+    assert ids("他说今天的天气非常好，我们去公园散步吧。") == [2] and ids("完全不同的一句话没有关系") == []
+
+
 def test_leaks_found_in_any_order(spark, none):
     items = [(i, prose(50 + i, 30) + f" unique{i} passage{i} of item{i} number{i}") for i in range(5)] + [(9, "short one"), (10, None)]
     benchmark = spark.createDataFrame(items, "item_id long, text string")
@@ -489,7 +575,7 @@ def test_blocks_of_a_large_benchmark_give_the_same(spark, monkeypatch):
     docs, benchmark = read_table(spark, SMALL, "documents"), read_table(spark, SMALL, "benchmark")
     key = lambda df: sorted(map(tuple, df.collect()))
     whole = key(decontamination.find_leaks(spark, docs, benchmark))
-    monkeypatch.setattr(decontamination, "BLOCK_BYTES", 3000)
+    monkeypatch.setattr(decontamination, "BLOCK_TOKENS", 1500)
     assert key(decontamination.find_leaks(spark, docs, benchmark)) == whole
 
 
