@@ -5,13 +5,20 @@ points in words), n_symbols (characters of ``#*$%&|<>``), n_dup_lines (lines wit
 (words covered by 8-word windows that occur twice or more in the text). base_failed: n_words < 20 or 100 * n_repeat_words > 30 * n_words.
 
 References: every language's histograms over all documents of that language, one of character classes and one of its common words
-(each with at least COMMON_SHARE of the language's words, so at most 1 / COMMON_SHARE of them) with the rest as one bin. A document is
-measured by the Jensen-Shannon distance (base 2, 0 to 1) to the nearest reference, so a wrong language label doesn't matter. It fails
-if a distance exceeds its limit plus a sampling allowance that falls with the square root of the length. Guard: texts with fewer than
+(each with at least COMMON_SHARE of the language's words, so at most 1 / COMMON_SHARE of them) with the rest as one bin. Common words
+are found in two passes: tasks pass on only words with a tenth of that share in what they hold, which no common word can slip through,
+and then those that may be common are counted exactly. A document is measured by the Jensen-Shannon distance (base 2, 0 to 1) to the
+nearest reference (the least sum of both distances; of equal ones the language first in order), so a wrong language label doesn't matter.
+
+Limits come from the documents themselves: of each distance, less a sampling allowance SLACK / sqrt(words), the median and the median
+absolute deviation over all documents that are measured. A document fails if one of its distances is an outlier above, by the usual rule
+of modified z-scores (over OUTLIER; deviations under LEAST_SPREAD count as that). So the limits hold where most documents are sound.
+SLACK is about the distance that sampling alone gives to a dozen evenly filled bins, sqrt(12 / (8 ln 2)). Guard: texts with fewer than
 MIN_WORDS words are left to the base rules.
 
 Defined results: a null text has no words and fails; rows without a language count in no reference; without any reference only the
-base rules decide; repeated rows are rows of their own; extra columns are ignored.
+base rules decide; repeated rows are rows of their own; an empty table gives no row; texts are read whole; only the named columns are
+read, so others may have any name.
 """
 
 from __future__ import annotations
@@ -28,9 +35,8 @@ from granary.session import Scratch, ship_package
 
 WINDOW = 8
 COMMON_SHARE, MIN_WORDS = 0.002, 50
-CLASS_LIMIT, WORD_LIMIT = 0.19, 0.34
-#: Sampling allowances, divided by the square root of the number of words.
-CLASS_SLACK, WORD_SLACK = 0.3, 0.9
+#: Modified z-scores are 0.6745 times the distance from the median in median absolute deviations; above 3.5 is an outlier.
+OUTLIER, SLACK, LEAST_SPREAD = 3.5 / 0.6745, 1.5, 0.01
 #: Words that a task holds before it passes its counts on.
 HELD_WORDS = 200_000
 _SYMBOLS = "#*$%&|<>"
@@ -105,17 +111,17 @@ def base_features(text: str | None) -> tuple[list[bytes], np.ndarray, dict]:
 
 
 def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-    """Counts by language: kind 0 are character classes, kind 1 words, kind 2 all words."""
+    """Counts by language: kind 0 are character classes, kind 1 words that may be common, kind 2 all words."""
     words: dict[str, Counter] = {}
     classes: dict[str, np.ndarray] = {}
 
     def flush() -> Iterator[pa.RecordBatch]:
         for lang in sorted(words):
-            c = words[lang]
-            cls = classes[lang]
+            cls, total = classes[lang], sum(words[lang].values())
+            c = {w: n for w, n in words[lang].items() if n >= COMMON_SHARE / 10 * total}
             keys = [str(i).encode() for i in range(len(cls))] + list(c) + [b""]
             kinds = [0] * len(cls) + [1] * len(c) + [2]
-            counts = [*cls.tolist(), *c.values(), sum(c.values())]
+            counts = [*cls.tolist(), *c.values(), total]
             yield pa.RecordBatch.from_arrays([pa.array([lang] * len(keys), pa.string()), pa.array(kinds, pa.int32()), pa.array(keys, pa.binary()), pa.array(counts, pa.int64())], ["lang", "kind", "key", "n"])
         words.clear()
         classes.clear()
@@ -131,6 +137,20 @@ def _count_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch
     yield from flush()
 
 
+def _exact_batches(wanted: dict[str, set[bytes]]):
+    """Counts of the wanted words of each language."""
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        counts: Counter = Counter()
+        for batch in batches:
+            for lang, text in zip(batch.column(0).to_pylist(), batch.column(1)):
+                own = wanted.get(lang, ())
+                counts.update((lang, w) for w in text.as_py().encode("utf-8", "surrogatepass").split() if w in own)
+        yield pa.RecordBatch.from_arrays([pa.array([k[0] for k in counts], pa.string()), pa.array([k[1] for k in counts], pa.binary()), pa.array(counts.values(), pa.int64())], ["lang", "key", "n"])
+
+    return run
+
+
 class References:
     """Per language: shares of character classes, common words and their shares."""
 
@@ -157,15 +177,21 @@ def references(spark: SparkSession, docs: DataFrame, text: str = "text", lang: s
     """Histograms over all documents with a text and a language."""
     ship_package(spark)
     rows = docs.select(F.col(lang).alias("lang"), F.col(text).alias("text")).where("lang is not null and text is not null")
-    counts = rows.mapInArrow(_count_batches, "lang string, kind int, key binary, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n"))
-    totals = F.sum(F.when(F.col("kind") == 2, F.col("n"))).alias("total")
     scratch = Scratch(spark, "histograms")
-    written = scratch.write(counts.where("kind <> 1 or n >= 2"), "counts")
-    total = F.broadcast(written.groupBy("lang").agg(totals))
-    kept = written.join(total, "lang").where((F.col("kind") != 1) | (F.col("n") >= COMMON_SHARE * F.col("total")))
-    out = [(r["lang"], r["kind"], bytes(r["key"]), r["n"]) for r in kept.select("lang", "kind", "key", "n").collect()]
+    counts = scratch.write(rows.mapInArrow(_count_batches, "lang string, kind int, key binary, n long").groupBy("lang", "kind", "key").agg(F.sum("n").alias("n")), "counts")
+    total = F.broadcast(counts.where("kind = 2").select("lang", F.col("n").alias("total")))
+    # What tasks kept back of a word is under a tenth of COMMON_SHARE of all words.
+    may = counts.join(total, "lang").where((F.col("kind") != 1) | (F.col("n") >= 0.9 * COMMON_SHARE * F.col("total")))
+    found = [(r["lang"], r["kind"], bytes(r["key"]), r["n"]) for r in may.select("lang", "kind", "key", "n").collect()]
+    totals = {lang: n for lang, kind, _, n in found if kind == 2}
+    wanted: dict[str, set[bytes]] = {}
+    for lang_, kind, key, _ in found:
+        if kind == 1:
+            wanted.setdefault(lang_, set()).add(key)
+    exact = rows.mapInArrow(_exact_batches(wanted), "lang string, key binary, n long").groupBy("lang", "key").agg(F.sum("n").alias("n")).collect()
+    common = [(r["lang"], 1, bytes(r["key"]), r["n"]) for r in exact if r["n"] >= COMMON_SHARE * totals[r["lang"]]]
     scratch.close()
-    return References(out)
+    return References([r for r in found if r[1] != 1] + common)
 
 
 def js_distance(p: np.ndarray, q: np.ndarray) -> float:
@@ -193,21 +219,12 @@ def divergence(refs: References, words: list[bytes], classes: np.ndarray) -> tup
     return best
 
 
-def verdict(refs: References, words: list[bytes], classes: np.ndarray) -> tuple[bool, float | None, float | None]:
-    """Whether the method keeps the text, and the two distances."""
-    if len(words) < MIN_WORDS or not refs.languages:
-        return True, None, None
-    by_class, by_word = divergence(refs, words, classes)
-    root = np.sqrt(len(words))
-    return bool(by_class <= CLASS_LIMIT + CLASS_SLACK / root and by_word <= WORD_LIMIT + WORD_SLACK / root), by_class, by_word
-
-
 _NAMES = ["n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words"]
-_OUT = pa.struct([(n, pa.int64()) for n in _NAMES] + [("base_failed", pa.bool_()), ("kept", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64())])
+_OUT = pa.struct([(n, pa.int64()) for n in _NAMES] + [("base_failed", pa.bool_()), ("class_distance", pa.float64()), ("word_distance", pa.float64())])
 
 
 def rule_column(spark: SparkSession, refs: References):
-    """A function of a text column that gives features, base_failed, kept and distances."""
+    """A function of a text column that gives features, base_failed and, for texts that are measured, distances."""
     ship_package(spark)
     sent = spark.sparkContext.broadcast(refs)
 
@@ -216,13 +233,29 @@ def rule_column(spark: SparkSession, refs: References):
             rows = []
             for x in batch:
                 words, classes, row = base_features(x.as_py())
-                kept, a, b = verdict(sent.value, words, classes)
-                rows.append(row | {"kept": kept and not row["base_failed"], "class_distance": a, "word_distance": b})
+                measured = len(words) >= MIN_WORDS and sent.value.languages
+                a, b = divergence(sent.value, words, classes) if measured else (None, None)
+                rows.append(row | {"class_distance": a, "word_distance": b})
             yield pa.array(rows, _OUT)
 
-    return F.arrow_udf(run, ", ".join(f"{n} long" for n in _NAMES) + ", base_failed boolean, kept boolean, class_distance double, word_distance double")
+    return F.arrow_udf(run, ", ".join(f"{n} long" for n in _NAMES) + ", base_failed boolean, class_distance double, word_distance double")
+
+
+def limits(measured: DataFrame) -> tuple[float, float]:
+    """Limits of both distances, less the allowance, from all measured documents; infinite without one."""
+    less = lambda c: F.col(c) - SLACK / F.sqrt("n_words")
+    names = ["class_distance", "word_distance"]
+    middle = measured.agg(*[F.percentile_approx(less(c), 0.5, 10_000).alias(c) for c in names]).first()
+    if middle[names[0]] is None:
+        return float("inf"), float("inf")
+    spread = measured.agg(*[F.percentile_approx(F.abs(less(c) - middle[c]), 0.5, 10_000).alias(c) for c in names]).first()
+    return tuple(middle[c] + OUTLIER * max(LEAST_SPREAD, spread[c]) for c in names)
 
 
 def apply_rules(spark: SparkSession, docs: DataFrame, refs: References, text: str = "text", id_col: str = "doc_id") -> DataFrame:
-    """One row per document with its features and verdict."""
-    return docs.select(F.col(id_col), rule_column(spark, refs)(F.col(text)).alias("_r")).select(id_col, "_r.*")
+    """One row per document with its features, distances and verdict."""
+    rows = Scratch(spark, "rules").write(docs.select(F.col(id_col), rule_column(spark, refs)(F.col(text)).alias("_r")).select(id_col, "_r.*"), "rules")
+    by_class, by_word = limits(rows.where("class_distance is not null"))
+    outlier = F.greatest(F.col("class_distance") - by_class, F.col("word_distance") - by_word) > SLACK / F.sqrt("n_words")
+    kept = ~F.col("base_failed") & ~F.coalesce(outlier, F.lit(False))
+    return rows.select(id_col, *_NAMES, "base_failed", kept.alias("kept"), "class_distance", "word_distance")
