@@ -721,6 +721,62 @@ def test_distance():
     assert quality_rules.js_distance(p, q) == pytest.approx(1) and quality_rules.js_distance(p, p) == 0
 
 
+def test_references_and_verdicts_by_brute_force(spark, monkeypatch):
+    """Histograms, distances, limits and verdicts in plain Python, over a whole table and with tasks that hold few words."""
+    import math
+    import statistics
+
+    monkeypatch.setattr(quality_rules, "HELD_WORDS", 300)
+    rows = read_table(spark, SMALL, "documents").select("doc_id", "text", "lang").collect()
+    docs = spark.createDataFrame(rows).repartition(3)
+    refs = quality_rules.references(spark, docs)
+    words, classes = collections.defaultdict(collections.Counter), {}
+    for r in rows:
+        if r["lang"] is not None and r["text"] is not None:
+            words[r["lang"]].update(re.findall(rb"[^\x20\x09-\x0D]+", r["text"].encode()))
+            classes[r["lang"]] = classes.get(r["lang"], 0) + quality_rules.class_counts(r["text"].encode())
+    assert refs.languages == sorted(words)
+
+    def distance(p, q):
+        total = 0.0
+        for x, y in zip(p, q):
+            m = (x + y) / 2
+            total += (x * math.log2(x / m) if x else 0) / 2 + (y * math.log2(y / m) if y else 0) / 2
+        return math.sqrt(max(0.0, total))
+
+    common = {g: {w: n / c.total() for w, n in c.items() if n >= quality_rules.COMMON_SHARE * c.total()} for g, c in words.items()}
+    for g in refs.languages:
+        assert {w: refs.shares[g][i] for w, i in refs.words[g].items()} == pytest.approx(common[g])
+    got = {r["doc_id"]: r for r in quality_rules.apply_rules(spark, docs, refs).collect()}
+    want = {}
+    for r in rows:
+        data = (r["text"] or "").encode()
+        own = re.findall(rb"[^\x20\x09-\x0D]+", data)
+        if len(own) < quality_rules.MIN_WORDS:
+            assert got[r["doc_id"]]["kept"] != got[r["doc_id"]]["base_failed"]
+            continue
+        c = quality_rules.class_counts(data)
+        found = []
+        for g in sorted(words):
+            q = [own.count(w) / len(own) for w in common[g]]
+            pair = distance(c / c.sum(), classes[g] / classes[g].sum()), distance([*q, 1 - sum(q)], [*common[g].values(), 1 - sum(common[g].values())])
+            found.append(pair)
+        want[r["doc_id"]] = (min(found, key=sum), len(own))
+    limit = []
+    for k in (0, 1):
+        less = [d[k] - quality_rules.SLACK / math.sqrt(n) for d, n in want.values()]
+        m = statistics.median_low(less)
+        limit.append(m + 3.5 / 0.6745 * max(0.01, statistics.median_low([abs(x - m) for x in less])))
+    failed = 0
+    for i, (d, n) in want.items():
+        assert (got[i]["class_distance"], got[i]["word_distance"]) == pytest.approx(d, abs=1e-6)
+        over = max(d[0] - limit[0], d[1] - limit[1]) - quality_rules.SLACK / math.sqrt(n)
+        failed += over > 0
+        if abs(over) > 1e-6:
+            assert got[i]["kept"] == (over <= 0 and not got[i]["base_failed"])
+    assert failed > 5
+
+
 def test_rule_edges(spark, odd, none):
     refs = quality_rules.references(spark, odd)
     rows = quality_rules.apply_rules(spark, odd, refs).collect()
