@@ -23,14 +23,38 @@ def cosine(a: Column, b: Column) -> Column:
     return F.when(n > 0, dot(a, b) / n).otherwise(0.0)
 
 
-def softmax(a: Column) -> Column:
-    e = F.transform(a, lambda x: F.exp(x.cast("double") - F.array_max(a).cast("double")))
-    return F.transform(e, lambda x: x / _sum(e))
+def let(value: Column, body) -> Column:
+    """body(value), with the value computed once however often the body names it."""
+    return F.get(F.transform(F.array(value), body), F.lit(0))
+
+
+def _shares(a: Column) -> Column:
+    return let(a, lambda v: let(_sum(v), lambda s: F.transform(v, lambda x: x / s)))
+
+
+def softmax(a: Column, temperature: float = 1.0) -> Column:
+    grown = let(F.array_max(a).cast("double"), lambda top: F.transform(a, lambda x: F.exp((x.cast("double") - top) / temperature)))
+    return _shares(grown)
+
+
+def entropy(p: Column) -> Column:
+    return _sum(F.transform(p, lambda x: F.when(x > 0, -x * F.log(x)).otherwise(0.0)))
+
+
+def agreement(a: Column, b: Column) -> Column:
+    """Whether both are largest at the same place (the first of equal ones)."""
+    first = lambda v: let(v, lambda x: F.array_position(x, F.array_max(x)))
+    return first(a) == first(b)
+
+
+def spread(a: Column) -> Column:
+    """Variance of the parts."""
+    return let(a, lambda v: let(_sum(F.transform(v, lambda x: x.cast("double"))) / F.size(v), lambda m: _sum(F.transform(v, lambda x: (x - m) * (x - m))) / F.size(v)))
 
 
 def kl(p: Column, q: Column, eps: float = 1e-10) -> Column:
     """Divergence of two arrays that are made positive and sum to one first."""
-    norm = lambda v: F.transform(v, lambda x: (x.cast("double") + eps) / (_sum(F.transform(v, lambda y: y.cast("double") + eps))))
+    norm = lambda v: _shares(F.transform(v, lambda x: x.cast("double") + eps))
     return _sum(F.zip_with(norm(p), norm(q), lambda x, y: x * F.log(x / y)))
 
 

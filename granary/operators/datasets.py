@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
 from granary.functions.hashing import seeded
@@ -30,17 +30,20 @@ def close(a: Column, b: Column, absolute: float = 1e-6, relative: float = 1e-6)
 
 def stratified_sample(df: DataFrame, stratum: str, key: str, targets: dict[str, int], seed: int = 42) -> DataFrame:
     """Exactly the target of each stratum: rows by a seeded order; a short stratum is repeated round by round (`copy` counts from 0)."""
-    w = Window.partitionBy(stratum).orderBy(seeded(F.col(key), seed), key)
+    from granary.operators.ordered import exact_ranks
+
     want = F.create_map(*[F.lit(x) for kv in targets.items() for x in kv])
     df = df.where(F.col(stratum).isin(*targets))
     sizes = df.groupBy(stratum).agg(F.count(F.lit(1)).alias("_size"))  # a row for each target
-    ranked = df.withColumn("_r", F.row_number().over(w)).join(F.broadcast(sizes), stratum).withColumn("_want", want[F.col(stratum)])
+    ranked = exact_ranks(df, seeded(F.col(key), seed), F.col(key), group=stratum).withColumnRenamed("_rank", "_r").join(F.broadcast(sizes), stratum).withColumn("_want", want[F.col(stratum)])
     copies = F.when(F.col("_want") >= F.col("_r"), F.floor((F.col("_want") - F.col("_r")) / F.col("_size")) + 1).otherwise(0)
     return ranked.where("_r <= _want").withColumn("copy", F.explode(F.sequence(F.lit(0), (copies - 1).cast("int")))).drop("_r", "_size", "_want")
 
 
 def rebalance(df: DataFrame, label: str, key: str, majority: str, others: dict[str, float], seed: int = 42) -> DataFrame:
     """`df` with `balanced`: rows of the majority label move, in a seeded order, to labels short of their share of all rows."""
+    from granary.operators.ordered import exact_ranks
+
     named = [majority, *others]
     total, *known = df.agg(F.count(F.lit(1)), *[F.count_if(F.col(label) == x) for x in named]).first()
     known = dict(zip(named, known))
@@ -49,7 +52,7 @@ def rebalance(df: DataFrame, label: str, key: str, majority: str, others: dict[s
         n = max(0, min(left, int(total * share) - known[name]))
         moves.append((name, at, at + n))
         at, left = at + n, left - n
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy(label).orderBy(seeded(F.col(key), seed), key)))
+    ranked = exact_ranks(df, seeded(F.col(key), seed), F.col(key), group=label).withColumnRenamed("_rank", "_r")
     out = F.col(label)
     for name, lo, hi in moves:
         out = F.when((F.col(label) == majority) & (F.col("_r") > lo) & (F.col("_r") <= hi), F.lit(name)).otherwise(out)

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from granary.functions import text as X
 from granary.functions.hashing import seeded
+from granary.operators.ordered import exact_ranks
 from granary.functions.judging import CLAUSES, WEIGHTS
 
 # Words of stages in prompts, the order of tests, synonyms for grounding.
@@ -56,7 +57,7 @@ def balance_winners(df: DataFrame, key: str, share_b: float = 0.42, share_tie: f
     total = sum(n.values())
     to_b = max(0, min(n.get("a", 0), int(total * share_b) - n.get("b", 0)))
     to_tie = max(0, min(n.get("a", 0) - to_b, int(total * share_tie) - n.get("tie", 0)))
-    ranked = df.withColumn("_r", F.row_number().over(Window.partitionBy("winner").orderBy(seeded(F.col(key), seed), key)))
+    ranked = exact_ranks(df, seeded(F.col(key), seed), F.col(key), group="winner").withColumnRenamed("_rank", "_r")
     own = F.col("winner") == "a"
     parts = [ranked.where(~own | (F.col("_r") > to_b + to_tie)), swap_sides(ranked.where(own & (F.col("_r") <= to_b))), as_tie(ranked.where(own & (F.col("_r") > to_b) & (F.col("_r") <= to_b + to_tie)))]
     return parts[0].unionByName(parts[1]).unionByName(parts[2]).drop("_r")
@@ -151,6 +152,39 @@ def is_grounded(span: Column, fields: Column) -> Column:
     return F.exists(values, held)
 
 
+#: Fields of which one must be grounded.
+KEYED = ("summary", "lines", "count", "top_k")
+
+
+def is_grounded_strictly(span: Column, fields: Column, results: Column) -> Column:
+    """A span with the value of a keyed field, or with one of the first three results.
+
+    A number counts as a word of its own, or if all digits of the span are that number (with a point or a comma, within 1e-6), or a
+    hundred times that number in a span that speaks of percent. A link counts if its host and the first part of its path are there.
+    """
+    said = _folded(span)
+    point = F.regexp_replace(said, r"[^0-9.]", "").try_cast("double")
+    comma = F.replace(F.regexp_replace(said, r"[^0-9,]", ""), F.lit(","), F.lit(".")).try_cast("double")
+    percent = F.contains(said, F.lit("%")) | F.contains(said, F.lit("percent"))
+    padded = F.concat(F.lit(" "), F.regexp_replace(said, r"[^\p{L}\p{N}_]+", " "), F.lit(" "))
+
+    def near(v: Column, x: Column) -> Column:
+        return F.coalesce(F.abs(v - x) <= 1e-6, F.lit(False)) | (percent & F.coalesce(F.abs(v - x / 100) <= 1e-6, F.lit(False)))
+
+    def held(v: Column) -> Column:
+        number = v.try_cast("double")
+        whole = F.contains(padded, F.concat(F.lit(" "), number.cast("bigint").cast("string"), F.lit(" ")))
+        host = F.regexp_replace(F.lower(F.regexp_extract(v, r"://([^/?#]*)", 1)), r"^www\.", "")
+        path = F.regexp_extract(v, r"://[^/?#]*/+([^/?#]+)", 1)
+        link = (host != "") & F.contains(said, host) & F.contains(said, F.lower(path))
+        plain = F.contains(said, _folded(v))
+        return F.coalesce(F.when(number.isNotNull(), whole | near(number, point) | near(number, comma)).otherwise(plain | link), F.lit(False))
+
+    values = F.filter(F.array(*[fields[k] for k in KEYED]), lambda v: F.coalesce(v, F.lit("")) != "")
+    items = F.filter(F.slice(F.coalesce(results, F.array().cast("array<string>")), 1, 3), lambda v: F.coalesce(v, F.lit("")) != "")
+    return F.exists(values, held) | F.exists(items, lambda v: F.contains(said, _folded(v)))
+
+
 def grounding_f1(spans: Column, fields: Column) -> Column:
     """Precision, recall (1 if any span is grounded) and F1; zeros without spans or fields."""
     n = F.size(F.filter(spans, lambda s: is_grounded(s, fields)))

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from granary.functions import judging as G
 from granary.functions import text as X
 from granary.functions import vectors as V
+from granary.operators.inference import compare_predictions
 from granary.operators.ordered import merge_intervals
 from granary.operators.quantiles import nearest_rank
 from granary.plans.catalog import query
@@ -154,11 +155,28 @@ def _vector_pairs(spark, sf_dir):
     return e.select("vec_id", F.col("embedding").alias("a"), "label").join(e.select((F.col("vec_id") - 1).alias("vec_id"), F.col("embedding").alias("b"), F.col("label").alias("other")), "vec_id")
 
 
-@query()
+_SHARES = "list_transform({0}, lambda x: exp(x - list_max({0})) / list_sum(list_transform({0}, lambda y: exp(y - list_max({0})))))"
+_POSITIVE = "list_transform({0}, lambda x: (x + 1e-10) / (list_sum({0}) + 1e-10 * len({0})))"
+
+
+@query(
+    f"""WITH v AS (SELECT vec_id, embedding::double[] AS e, label FROM embeddings), n AS (SELECT count(*) AS n FROM v),
+p AS (SELECT a.label, b.label AS other, a.e AS a, b.e AS b, {_SHARES.format("a.e")} AS p, {_SHARES.format("b.e")} AS q FROM v a, n JOIN v b ON b.vec_id = (a.vec_id * 7 + 3) % n.n),
+k AS (SELECT label, other, a, b, p, {_POSITIVE.format("p")} AS s, {_POSITIVE.format("q")} AS t FROM p)
+SELECT label, count(*) AS n, round(avg((label = other)::int), 6) AS exact, round(avg(list_distance(a, b)), 4) AS l2, round(avg(list_sum(list_transform(range(1, len(s) + 1), lambda i: s[i] * ln(s[i] / t[i])))), 4) AS kl,
+ round(avg(list_sum(list_transform(p, lambda x: -x * ln(x)))), 4) AS entropy, round(avg(list_max(p)), 4) AS confidence, round(avg((list_position(a, list_max(a)) = list_position(b, list_max(b)))::int), 6) AS agreement FROM k GROUP BY label"""
+)
 def prediction_drift(spark, sf_dir):
-    """Neighbours by position: exact matches of labels, mean distance and divergence."""
-    p = _vector_pairs(spark, sf_dir)
-    return p.groupBy("label").agg(F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("other")).cast("int")), 6).alias("exact"), F.round(F.avg(V.l2(F.col("a"), F.col("b"))), 4).alias("l2"), F.round(F.avg(V.kl(V.softmax(F.col("a")), V.softmax(F.col("b")))), 4).alias("kl"))
+    """Two sets of predictions by key: exact matches of labels, distance, divergence, entropy and agreement."""
+    e = read_table(spark, sf_dir, "embeddings").select("vec_id", "embedding", "label")
+    total = e.agg(F.count(F.lit(1)).alias("n"))
+    other = e.select(F.col("vec_id").alias("at"), F.col("embedding").alias("second"), F.col("label").alias("other"))
+    keyed = e.join(F.broadcast(total)).select("vec_id", "embedding", "label", ((F.col("vec_id") * 7 + 3) % F.col("n")).alias("at"))
+    p = compare_predictions(keyed, other, "at", "embedding", "second")
+    return p.groupBy("label").agg(
+        F.count(F.lit(1)).alias("n"), F.round(F.avg((F.col("label") == F.col("other")).cast("int")), 6).alias("exact"), F.round(F.avg("l2"), 4).alias("l2"), F.round(F.avg("kl"), 4).alias("kl"),
+        F.round(F.avg("entropy"), 4).alias("entropy"), F.round(F.avg("confidence"), 4).alias("confidence"), F.round(F.avg(F.col("agrees").cast("int")), 6).alias("agreement"),
+    )
 
 
 @query("SELECT a.vec_id, round(list_cosine_similarity(a.embedding::double[], b.embedding::double[]), 4) AS cosine, round(list_distance(a.embedding::double[], b.embedding::double[]), 4) AS l2 FROM embeddings a JOIN embeddings b ON a.vec_id + 1 = b.vec_id")

@@ -2,13 +2,18 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql.types import StructType
 
 HEADER = "__header__"
 
 
+def is_header(line: Column) -> Column:
+    """Whether a line is an object with the header's key at the top level; a text that only mentions it is data."""
+    return F.coalesce(F.array_contains(F.json_object_keys(line), HEADER), F.lit(False))
+
+
 def read_strict(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Typed rows; blank lines are skipped, a malformed line is an error."""
     return spark.read.schema(schema).option("mode", "FAILFAST").json(path)
@@ -17,7 +22,7 @@ def read_strict(spark: SparkSession, path: str, schema: StructType | str) -> Dat
 def read_tolerant(spark: SparkSession, path: str, schema: StructType | str) -> DataFrame:
     """Typed rows without malformed lines and header rows, with `_file`; presence of keys is tested on the text before it is typed."""
     lines = spark.read.text(path).select("value", F.col("_metadata.file_path").alias("_file")).where(F.trim("value") != "")
-    good = lines.where(F.try_parse_json("value").isNotNull() & ~F.contains("value", F.lit(f'"{HEADER}"')))
+    good = lines.where(F.try_parse_json("value").isNotNull() & ~is_header(F.col("value")))
     return good.select(F.from_json("value", schema if isinstance(schema, str) else schema.simpleString()).alias("_r"), "_file").select("_r.*", "_file")
 
 
@@ -31,7 +36,7 @@ def load_statistics(spark: SparkSession, path: str) -> DataFrame:
     """Lines, blank, malformed and header rows of the files."""
     v = F.col("value")
     blank, bad = F.trim(v) == "", F.try_parse_json(v).isNull()
-    return spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"), F.count_if(blank).alias("blank"), F.count_if(~blank & bad).alias("malformed"), F.count_if(F.contains(v, F.lit(f'"{HEADER}"'))).alias("headers"))
+    return spark.read.text(path).agg(F.count(F.lit(1)).alias("lines"), F.count_if(blank).alias("blank"), F.count_if(~blank & bad).alias("malformed"), F.count_if(is_header(v)).alias("headers"))
 
 
 def read_prompts(spark: SparkSession, path: str) -> DataFrame:
@@ -56,8 +61,8 @@ def read_fixtures(spark: SparkSession, folder: str) -> DataFrame:
 
 
 def write(df: DataFrame, path: str, mode: str = "overwrite") -> None:
-    """Rows as NDJSON, nulls left out."""
-    df.write.mode(mode).json(path)
+    """Rows as NDJSON; nulls are written, so that a missing key can be told from a null."""
+    df.write.mode(mode).option("ignoreNullFields", "false").json(path)
 
 
 def write_with_manifest(df: DataFrame, path: str, parameters: dict[str, str]) -> None:
