@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column
 from pyspark.sql import functions as F
 
+from granary.functions.vectors import let
+
 # Fixed values that results depend on: patterns, hosts and word lists.
 EMAIL = r"[\w\.-]+@[\w\.-]+"
 UUID = r"\b[0-9a-fA-F]{8}-[0-9a-fA-F]{4}-[1-5][0-9a-fA-F]{3}-[89abAB][0-9a-fA-F]{3}-[0-9a-fA-F]{12}\b"
@@ -119,9 +121,11 @@ def privacy(c: Column) -> Column:
 
 def heuristic_quality(c: Column, truth: Column | None = None, prompt: Column | None = None) -> Column:
     """Additive score of structure, length, variety and errors, and overlap with a truth and a prompt where given; 0 to 1."""
-    w = words(c)
-    n = F.size(w)
-    unique = F.size(F.array_distinct(w)) / n
+    counted = let(words(c), lambda w: F.struct(F.size(w).alias("n"), F.size(F.array_distinct(w)).alias("different")))
+    return let(counted, lambda m: _quality_score(c, m["n"], m["different"] / m["n"], truth, prompt))
+
+
+def _quality_score(c: Column, n: Column, unique: Column, truth: Column | None, prompt: Column | None) -> Column:
     has = lambda s: F.contains(c, F.lit(s))
     head = F.substring(c, 1, 200)
     structured = has("```") | (has("{") & has("}"))
@@ -131,7 +135,7 @@ def heuristic_quality(c: Column, truth: Column | None = None, prompt: Column | N
     score += F.when(n > 10, F.when(unique < 0.3, -0.2).when(unique > 0.7, 0.05).otherwise(0.0)).otherwise(0.0)
     errors = sum(F.contains(F.lower(c), F.lit(x)).cast("int") for x in ERROR_WORDS)
     score += F.when(errors > 2, -0.2).otherwise(0.0)
-    own = F.array_distinct(words(F.lower(c)))
+    own = F.array_distinct(words(F.lower(c))) if truth is not None or prompt is not None else None
     if truth is not None:
         other = F.array_distinct(words(F.lower(truth)))
         share = F.size(F.array_intersect(own, other)) / F.size(other)
@@ -182,20 +186,22 @@ def categories(c: Column) -> Column:
 
 def has_fact_structure(c: Column) -> Column:
     """A verb of the list and two further words (one if a participle is there)."""
-    w = words(F.lower(c))
-    any_of = lambda xs: F.arrays_overlap(w, F.array(*map(F.lit, xs)))
-    kept = F.filter(w, lambda x: (F.length(x) > 3) & ~x.isin(*PLAIN_WORDS))
-    return any_of(FACT_VERBS) & (F.size(kept) >= F.when(any_of(PARTICIPLES), 1).otherwise(2))
+    def test(w: Column) -> Column:
+        any_of = lambda xs: F.arrays_overlap(w, F.array(*map(F.lit, xs)))
+        kept = F.filter(w, lambda x: (F.length(x) > 3) & ~x.isin(*PLAIN_WORDS))
+        return any_of(FACT_VERBS) & (F.size(kept) >= F.when(any_of(PARTICIPLES), 1).otherwise(2))
+
+    return let(words(F.lower(c)), test)
 
 
 def is_verifiable(c: Column) -> Column:
     start = F.lower(strip(c)).rlike(GENERIC)
     seen = [c.rlike("(?i)" + p) for p in VERIFIABLE]
     marks = F.contains(c, F.lit("```")) | F.contains(c, F.lit("{")) | F.contains(c, F.lit("["))
-    some = marks | has_fact_structure(c)
+    some = marks
     for s in seen:
         some = some | s
-    return ~start & some
+    return ~start & (some | has_fact_structure(c))  # the dearest test last
 
 
 def is_hedged(c: Column) -> Column:
