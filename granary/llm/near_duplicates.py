@@ -460,7 +460,7 @@ def keep_one(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD,
     found = find(spark, docs, threshold, text, id_col, scratch)
     keys = scratch.write(found.groupBy("doc_id", "text_md5", "class_key").agg(F.count(F.lit(1)).alias("n")), "keys")
     firsts = keys.groupBy("class_key").agg(F.min(F.struct("doc_id", "text_md5")).alias("own"))
-    judged = spread_join(keys, firsts, "class_key", F.hex("text_md5"), ["own"], keys.count())
+    judged = spread_join(keys, firsts, "class_key", F.concat_ws("|", F.hex("text_md5"), F.col("doc_id").cast("string")), ["own"], keys.count())
     stays = F.col("doc_id").eqNullSafe(F.col("own.doc_id")) & (F.col("text_md5") == F.col("own.text_md5"))
     # Rows that go, and rows that are there more than once; all other rows pass without a shuffle.
     suspects = scratch.write(judged.select("doc_id", "text_md5", stays.alias("stays"), "n").where("not stays or n > 1"), "suspects")
