@@ -5,6 +5,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
+from granary.operators.quantiles import interpolated
+
 
 def distribution(df: DataFrame, keys: list[str]) -> DataFrame:
     """key, value, n and share for several columns, in one pass over the rows."""
@@ -120,7 +122,9 @@ def acceptance(proposed: Column, accepted: Column) -> Column:
     return accepted / F.greatest(proposed, F.lit(1))
 
 
-def dispersion(values: str) -> list[Column]:
-    """Median, quartiles, and variance over squared median."""
-    p = F.percentile(values, F.array(F.lit(0.25), F.lit(0.5), F.lit(0.75)))
-    return [F.get(p, 0).alias("p25"), F.get(p, 1).alias("median"), F.get(p, 2).alias("p75"), (F.var_pop(values) / F.pow(F.get(p, 1), F.lit(2))).alias("cv")]
+def dispersion(df: DataFrame, group: list[str], value: str) -> DataFrame:
+    """Quartiles and median of each group, and variance over squared median; no task holds a group."""
+    q = interpolated(df, group, F.col(value), {"p25": 0.25, "median": 0.5, "p75": 0.75}).alias("q")
+    v = df.groupBy(*group).agg(F.var_pop(value).alias("_var")).alias("v")
+    same = [F.col(f"q.{g}").eqNullSafe(F.col(f"v.{g}")) for g in group] or [F.lit(True)]
+    return q.join(v, same).select(*[f"q.{g}" for g in group], "p25", "median", "p75", (F.col("_var") / F.pow("median", F.lit(2))).alias("cv"))

@@ -186,9 +186,10 @@ def cache_hit_rate(spark, sf_dir):
     return Q.hit_rates(read_table(spark, sf_dir, "events").select(status.alias("status"))).withColumn("hit_rate", F.round("hit_rate", 6))
 
 
-@query("SELECT event_type, round(quantile_cont(value,0.25),6) AS p25, round(quantile_cont(value,0.5),6) AS median, round(quantile_cont(value,0.75),6) AS p75 FROM events GROUP BY event_type")
+@query("SELECT event_type, round(quantile_cont(value,0.25),6) AS p25, round(quantile_cont(value,0.5),6) AS median, round(quantile_cont(value,0.75),6) AS p75, round(var_pop(value)/power(quantile_cont(value,0.5),2),4) AS cv FROM events GROUP BY event_type")
 def dispersion(spark, sf_dir):
-    return read_table(spark, sf_dir, "events").groupBy("event_type").agg(*Q.dispersion("value")).select("event_type", *[F.round(c, 6).alias(c) for c in ("p25", "median", "p75")])
+    d = Q.dispersion(read_table(spark, sf_dir, "events"), ["event_type"], "value")
+    return d.select("event_type", *[F.round(c, 6).alias(c) for c in ("p25", "median", "p75")], F.round("cv", 4).alias("cv"))
 
 
 @query(

@@ -10,7 +10,7 @@ from granary.functions import text as X
 from granary.functions import vectors as V
 from granary.operators.inference import compare_predictions
 from granary.operators.ordered import merge_intervals
-from granary.operators.quantiles import nearest_rank
+from granary.operators.quantiles import interpolated, order_statistics
 from granary.plans.catalog import query
 from granary.session import read_table
 from granary.streaming import windows as S
@@ -19,8 +19,8 @@ from granary.streaming import windows as S
 @query("SELECT event_type, round(quantile_cont(value,0.5),6) AS p50, round(quantile_cont(value,0.9),6) AS p90, round(quantile_cont(value,0.95),6) AS p95 FROM events WHERE value IS NOT NULL AND isfinite(value) GROUP BY event_type")
 def speed_percentiles(spark, sf_dir):
     v = F.when(~F.isnan("value") & (F.abs("value") < float("inf")), F.col("value"))
-    e = read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.percentile(v, F.array(F.lit(0.5), F.lit(0.9), F.lit(0.95))).alias("p"))
-    return e.select("event_type", *[F.round(F.get("p", i), 6).alias(n) for i, n in enumerate(("p50", "p90", "p95"))])
+    e = interpolated(read_table(spark, sf_dir, "events"), ["event_type"], v, {"p50": 0.5, "p90": 0.9, "p95": 0.95})
+    return e.select("event_type", *[F.round(n, 6).alias(n) for n in ("p50", "p90", "p95")])
 
 
 @query(
@@ -30,10 +30,9 @@ max(value) FILTER (i = floor(0.5*n)) <= 50 AS meets FROM r GROUP BY event_type""
 )
 def latency_targets(spark, sf_dir):
     """Nearest-rank percentiles against a target, by rank and count."""
-    w = Window.partitionBy("event_type")
-    e = read_table(spark, sf_dir, "events").select("event_type", "value", (F.row_number().over(w.orderBy("value")) - 1).alias("i"), F.count(F.lit(1)).over(w).alias("n"))
-    at = lambda share, least: F.max(F.when(F.col("i") == F.when(F.col("n") > least, F.floor(F.col("n") * share)).otherwise(F.col("n") - 1), F.col("value")))
-    return e.groupBy("event_type").agg(F.round(at(0.5, 0), 6).alias("p50"), F.round(at(0.95, 20), 6).alias("p95"), F.round(at(0.99, 100), 6).alias("p99"), (at(0.5, 0) <= 50).alias("meets"))
+    at = lambda share, least: lambda n: F.when(n > least, F.floor(n * share)).otherwise(n - 1)
+    e = order_statistics(read_table(spark, sf_dir, "events"), ["event_type"], F.col("value"), {"p50": at(0.5, 0), "p95": at(0.95, 20), "p99": at(0.99, 100)})
+    return e.select("event_type", *[F.round(n, 6).alias(n) for n in ("p50", "p95", "p99")], (F.col("p50") <= 50).alias("meets"))
 
 
 @query(
@@ -42,7 +41,7 @@ SELECT event_type, round(base,6) AS base, round(now,6) AS now, (now-base)/base <
 )
 def speed_gate(spark, sf_dir):
     e = read_table(spark, sf_dir, "events")
-    half = lambda r, n: e.where(F.col("user_id") % 2 == r).groupBy("event_type").agg(F.percentile("value", F.lit(0.5)).alias(n))
+    half = lambda r, n: interpolated(e.where(F.col("user_id") % 2 == r), ["event_type"], F.col("value"), {n: 0.5}).drop("n")
     both = half(0, "base").join(half(1, "now"), "event_type")
     return both.select("event_type", F.round("base", 6).alias("base"), F.round("now", 6).alias("now"), G.speed_gate(F.col("now"), F.col("base")).alias("passed"))
 
@@ -70,7 +69,10 @@ def time_range(spark, sf_dir):
     return e.crossJoin(F.broadcast(start)).where((F.col("ts") >= F.col("start") + F.expr("INTERVAL 1 HOUR")) & (F.get_json_object("props", "$.k").cast("int") == 7)).select("event_id", "event_type")
 
 
-@query()
+@query(
+    """WITH e AS (SELECT user_id, list(value ORDER BY ts, event_id) AS v FROM events GROUP BY user_id)
+SELECT user_id, round(list_reduce(v, lambda a, x: a * (1 - 2.0::double / 11) + x * (2.0::double / 11)), 6) AS ewma, len(v) AS n FROM e"""
+)
 def ewma(spark, sf_dir):
     """Last exponentially weighted mean of each user's values, seeded with the first, in closed form over ranks."""
     alpha = 2.0 / 11
@@ -200,8 +202,15 @@ def stream_windows(spark, sf_dir):
     return S.windowed_counts(spark.read.schema(schema).parquet(f"{sf_dir}/events.parquet")).select(F.unix_micros("start").alias("start_us"), "event_type", "n", F.round("total", 4).alias("total"))
 
 
-@query()
+@query(
+    """WITH r AS (SELECT lang, source, length(text) AS v, row_number() OVER (PARTITION BY lang, source ORDER BY length(text)) - 1 AS i, count(*) OVER (PARTITION BY lang, source) AS n FROM documents WHERE text IS NOT NULL)
+SELECT lang, source, round(avg(v), 4) AS mean, max(v) FILTER (i = least(floor(n * 0.5), n - 1)) AS p50, max(v) FILTER (i = least(floor(n * 0.95::double), n - 1)) AS p95 FROM r GROUP BY lang, source"""
+)
 def coverage_stats(spark, sf_dir):
-    """Mean and nearest-rank quantiles of the text lengths of each source, over sorted arrays of numbers."""
-    d = read_table(spark, sf_dir, "documents").groupBy("lang", "source").agg(F.array_sort(F.collect_list(F.length("text"))).alias("v"), F.avg(F.length("text")).alias("mean"))
-    return d.select("lang", "source", F.round("mean", 4).alias("mean"), nearest_rank(F.col("v"), 0.5).alias("p50"), nearest_rank(F.col("v"), 0.95).alias("p95"))
+    """Mean and nearest-rank quantiles of the text lengths of each language and source."""
+    d = read_table(spark, sf_dir, "documents").select("lang", "source", F.length("text").alias("v")).where("v is not null")
+    at = lambda share: lambda n: F.least(F.floor(n * share), n - 1)
+    q = order_statistics(d, ["lang", "source"], F.col("v"), {"p50": at(0.5), "p95": at(0.95)}).alias("q")
+    m = d.groupBy("lang", "source").agg(F.round(F.avg("v"), 4).alias("mean")).alias("m")
+    same = F.col("q.lang").eqNullSafe(F.col("m.lang")) & F.col("q.source").eqNullSafe(F.col("m.source"))
+    return q.join(m, same).select("q.lang", "q.source", "mean", F.col("p50").cast("bigint").alias("p50"), F.col("p95").cast("bigint").alias("p95"))

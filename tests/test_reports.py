@@ -50,7 +50,7 @@ def test_profiles_budgets_rates(spark, tmp_path):
         (tmp_path / name).write_text('{"v": %d}' % i)
     assert "seed1" in R.find_baseline(spark, str(tmp_path), "t", 1).first()["path"]
     assert R.read_reports(spark, str(tmp_path)).count() == 3
-    values = spark.createDataFrame([(1.0,), (2.0,), (3.0,)], "v double").agg(*R.dispersion("v")).first()
+    values = R.dispersion(spark.createDataFrame([(1.0,), (2.0,), (3.0,), (None,)], "v double").withColumn("g", F.lit("x")), ["g"], "v").first()
     assert (values["p25"], values["median"], values["p75"]) == (1.5, 2.0, 2.5)
 
 
