@@ -31,15 +31,18 @@ def contradicts(evidence: Column, claim: Column) -> Column:
     return evidence.rlike(NEGATIONS) & F.exists(keys, lambda k: F.contains(F.lower(evidence), k))
 
 
-def triage(evidence: Column, claim: Column, temperature: float = 0.6, bias: tuple[float, float, float] = (0.0, 0.0, 0.0), prior: tuple[float, float, float] = (0.33, 0.33, 0.34)) -> Column:
-    """Smoothed probabilities of support, contradict and insufficient from lexical overlap."""
-    ratio, against = overlap_ratio(evidence, claim), contradicts(evidence, claim)
-    blank = F.size(token_words(claim)) == 0
-    raw = (
+def overlap_logits(ratio: Column, against: Column, blank: Column) -> tuple[Column, Column, Column]:
+    """Raw scores of support, contradict and insufficient from the overlap, a contradiction, and a claim without words."""
+    return (
         F.when(blank, -1.0).when(against, -2.0).otherwise(ratio * 3.0 - 1.0),
         F.when(blank, -2.0).when(against, 2.0).otherwise(-2.0),
         F.when(blank, 1.0).when(against, -1.0).otherwise((F.lit(1.0) - ratio) * 2.0 - 1.0),
     )
+
+
+def triage(evidence: Column, claim: Column, temperature: float = 0.6, bias: tuple[float, float, float] = (0.0, 0.0, 0.0), prior: tuple[float, float, float] = (0.33, 0.33, 0.34)) -> Column:
+    """Smoothed probabilities of support, contradict and insufficient from lexical overlap."""
+    raw = overlap_logits(overlap_ratio(evidence, claim), contradicts(evidence, claim), F.size(token_words(claim)) == 0)
     e = [F.exp(r / temperature + b) for r, b in zip(raw, bias)]
     z = e[0] + e[1] + e[2]
     return F.struct(*[(x / z * 0.5 + 0.5 * p).alias(n) for x, p, n in zip(e, prior, ("support", "contradict", "insufficient"))])

@@ -7,7 +7,7 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
-_MODULES = ("granary.plans.documents", "granary.plans.datasets", "granary.plans.judging", "granary.plans.series", "granary.plans.records", "granary.plans.answers", "granary.plans.samples")
+_MODULES = ("granary.plans.documents", "granary.plans.datasets", "granary.plans.judging", "granary.plans.series", "granary.plans.records", "granary.plans.answers", "granary.plans.samples", "granary.plans.metrics")
 
 _queries: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 _sql: dict[str, str] = {}
