@@ -70,13 +70,21 @@ def json_validity(spark, sf_dir):
     return read_table(spark, sf_dir, "events").groupBy("event_type").agg(F.count(F.lit(1)).alias("n"), F.count_if(ok).alias("valid"), F.count_if(~ok).alias("broken"))
 
 
-@query()
+_OBJECTS = r"regexp_extract_all(html, '\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}')"
+
+
+@query(
+    rf"""WITH o AS (SELECT {_OBJECTS} AS o FROM pages), f AS (SELECT o, len(list_filter(o, lambda x: json_valid(x))) > 0 AS ok, coalesce(json_valid(regexp_replace(replace(o[1], chr(39), chr(34)), ',\s*([}}\]])', '\1', 'g')), false) AS mended FROM o)
+SELECT count(*) AS total, count(*) FILTER (len(o) > 0) AS has_json, count(*) FILTER (ok) AS valid, count(*) FILTER (mended AND NOT ok) AS needs_repair FROM f"""
+)
 def repair_stats(spark, sf_dir):
     t = F.col("html")
     return read_table(spark, sf_dir, "pages").agg(F.count(F.lit(1)).alias("total"), F.count_if(F.size(J.objects(t)) > 0).alias("has_json"), F.count_if(J.has_valid(t)).alias("valid"), F.count_if(J.needs_repair(t)).alias("needs_repair"))
 
 
-@query()
+@query(
+    f"""WITH o AS (SELECT page_id, list_filter({_OBJECTS}, lambda x: CASE WHEN json_valid(x) THEN json_extract_string(x, '$.name') IS NOT NULL ELSE false END) AS o FROM pages) SELECT page_id, len(o)::int AS n_calls, o[1] AS first_call FROM o"""
+)
 def tool_call_extract(spark, sf_dir):
     """The first object with a name in every page."""
     calls = F.filter(J.objects(F.col("html")), lambda o: F.get_json_object(o, "$.name").isNotNull())

@@ -9,6 +9,7 @@ from granary.functions import text as X
 from granary.operators.filters import cascade_reasons
 from granary.operators.ordered import keep_first
 from granary.plans.catalog import query
+from granary.plans.judging import _CONFIDENCE, _MARKED, _SPLIT_WORDS, _VERIFIABLE
 from granary.session import read_table
 
 # SQL pieces of the texts' rules.
@@ -153,7 +154,17 @@ def pii_counts(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", X.count_matches(t, _E).alias("emails"), X.count_matches(t, _U).alias("uuids"), X.count_matches(t, _P).alias("phones"), X.count_matches(t, _C).alias("cards"))
 
 
-@query()
+_ADDRESSES = rf"list_concat(regexp_extract_all(text, '{X.EMAIL}'), regexp_extract_all(text, '{X.PHONE_BOUNDED}'))"
+_AROUND = "lower(substr(text, greatest(strpos(text, x) - 30, 1), strpos(text, x) + length(x) + 30 - greatest(strpos(text, x) - 30, 1)))"
+_HOSTS_OF_TEXT = r"list_transform(regexp_extract_all(text, 'https?://([^/\s]+)', 1), lambda h: regexp_replace(lower(h), '^www\.', ''))"
+
+
+@query(
+    rf"""WITH a AS (SELECT *, list_transform({_ADDRESSES}, lambda x: CASE WHEN regexp_matches({_AROUND}, 'invoice|ssn|patient|claim|medical|financial') THEN 'high' WHEN regexp_matches({_AROUND}, 'contact|support|careers|press|help|info') THEN 'contextual' ELSE 'medium' END) AS k,
+len(regexp_extract_all(text, '{X.UUID}')) AS uuids, {_HOSTS_OF_TEXT} AS hosts FROM documents), b AS (SELECT *, len(list_filter(hosts, lambda h: h NOT IN ('example.com','example.org','example.net'))) = 0 AS ok FROM a)
+SELECT doc_id, len(regexp_extract_all(text, '{X.EMAIL}')) AS emails_found, uuids AS uuids_found, len(hosts) AS urls_found, ok AS url_allowlist_ok, len(list_filter(k, lambda x: x = 'high')) AS high_severity, len(list_filter(k, lambda x: x = 'medium')) AS medium_severity,
+len(list_filter(k, lambda x: x = 'contextual')) AS contextual, len(k) = 0 AND uuids = 0 AND ok AS privacy_ok FROM b"""
+)
 def privacy_severity(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", X.privacy(F.col("text")).alias("p")).select("doc_id", "p.*")
 
@@ -205,7 +216,15 @@ def structure_score(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", F.round(X.structure_score(F.col("text")), 4).alias("score"))
 
 
-@query()
+_OBJECTS = r"regexp_extract_all(text, '\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}')"
+_FENCED = r"regexp_extract_all(text, '(?s)```(\w+)?\n(.*?)```', {0})"
+
+
+@query(
+    rf"""WITH d AS (SELECT doc_id, {_HEUR} AS h, {_OBJECTS} AS o, {_FENCED.format(2)} AS codes, {_FENCED.format(1)} AS names FROM documents),
+b AS (SELECT *, CASE WHEN len(o) = 0 THEN 0.0 ELSE len(list_filter(o, lambda x: json_valid(x)))/len(o)::double END AS v, coalesce(list_sum(list_transform(codes, lambda x: CASE WHEN len(string_split(x, chr(10))) BETWEEN 5 AND 100 THEN 0.1 WHEN len(string_split(x, chr(10))) < 2 THEN -0.1 ELSE 0.0 END)), 0) AS parts FROM d)
+SELECT doc_id, round(h::double*0.6::double + v::double*0.2::double + CASE WHEN len(codes) = 0 THEN 0.0 ELSE least(1.0, (0.5 + CASE WHEN len(list_filter(names, lambda x: x <> '')) > 0 THEN 0.2 ELSE 0.0 END + parts)/len(codes)) END::double*0.2::double, 4) AS score FROM b"""
+)
 def composite_quality(spark, sf_dir):
     """Weighted heuristic, JSON and code-block scores."""
     from granary.functions.json_text import validity_score
@@ -229,14 +248,27 @@ def claim_categories(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select(F.explode(X.categories(F.col("text"))).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
-@query()
+_BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
+_SENTENCES = r"regexp_split_to_array(text, '[.!?]\s+')"
+_PARTS = rf"list_filter(list_transform(regexp_split_to_array(text, '\s+(?:and|or|but)\s+|\s*,\s+'), lambda x: trim(x, {_BLANKS})), lambda x: x <> '' AND lower(x) NOT IN ('and','or','but',','))"
+_CLAIMS = f"""s AS (SELECT doc_id, unnest({_SENTENCES}) AS raw, generate_subscripts({_SENTENCES}, 1) AS si FROM documents), u AS (SELECT *, {_SPLIT_WORDS} FROM (SELECT doc_id, si, trim(raw, {_BLANKS}) AS text FROM s) WHERE text <> ''),
+v AS (SELECT doc_id, si, text FROM (SELECT {_MARKED} FROM u) WHERE {_VERIFIABLE} AND NOT hedged), a AS (SELECT doc_id, si, CASE WHEN len({_PARTS}) <= 1 THEN [text] ELSE {_PARTS} END AS parts FROM v),
+x AS (SELECT doc_id, si, unnest(parts) AS text, generate_subscripts(parts, 1) AS ai FROM a)"""
+
+
+@query(
+    f"""WITH {_CLAIMS}, y AS (SELECT doc_id, (row_number() OVER (PARTITION BY doc_id ORDER BY si, ai) - 1)::int AS pos, text, {_SPLIT_WORDS} FROM x), z AS (SELECT {_MARKED} FROM y) SELECT doc_id, pos, text AS statement, {_CONFIDENCE} AS confidence FROM z"""
+)
 def claim_extract(spark, sf_dir):
     """Claims of every document with their confidence."""
     docs = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.claims(F.col("text"))).alias("pos", "statement"))
     return docs.select("doc_id", "pos", "statement", F.round(X.claim_confidence(F.col("statement")), 4).alias("confidence"))
 
 
-@query()
+@query(
+    f"""WITH {_CLAIMS}, c AS (SELECT doc_id, count(*) AS n FROM x GROUP BY doc_id), t AS (SELECT doc_id, len(list_filter({_SENTENCES}, lambda x: trim(x, {_BLANKS}) <> ''))::int AS total FROM documents)
+SELECT doc_id, coalesce(n, 0)::int AS n_claims, total AS n_sentences, CASE WHEN total > 0 THEN least(1.0, coalesce(n, 0)/total::double) ELSE 0.0 END::double AS success_rate FROM t LEFT JOIN c USING (doc_id)"""
+)
 def claim_metrics(spark, sf_dir):
     """Claims and sentences of a text, and their ratio."""
     docs = read_table(spark, sf_dir, "documents")

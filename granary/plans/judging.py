@@ -122,6 +122,18 @@ def claim_support_semijoin(spark, sf_dir):
     return a.join(pairs, "x_id", "left_semi").select(F.col("x_id").alias("item_id"))
 
 
+# The triage of evidence `e` and claim `c` (aliases of rows with text and ws), as logits and shares.
+_AGAINST = "regexp_matches({e}.text, '" + G.NEGATIONS.replace("'", "''") + "') AND len(list_filter(list_sort({c}.ws)[1:5], lambda k: contains(lower({e}.text), k))) > 0"
+_OVERLAP = "CASE WHEN len({c}.ws) = 0 THEN 0.0 ELSE len(list_intersect({e}.ws, {c}.ws))/len({c}.ws)::double END::double"
+_RAW = (
+    f"CASE WHEN len({{c}}.ws) = 0 THEN [-1.0, -2.0, 1.0]::double[] WHEN {_AGAINST} THEN [-2.0, 2.0, -1.0]::double[] ELSE [({_OVERLAP})*3-1, -2.0, (1-({_OVERLAP}))*2-1]::double[] END"
+)
+_SHARES = "list_transform([0.33, 0.33, 0.34]::double[], lambda p, i: exp({r}[i]/{t}::double) / (exp({r}[1]/{t}::double) + exp({r}[2]/{t}::double) + exp({r}[3]/{t}::double)) * 0.5::double + 0.5::double*p)"
+_TOP = "CASE WHEN {x}[2] >= 0.5 THEN 'contradict' WHEN {x}[1] >= 0.5 THEN 'support' WHEN {x}[3] >= 0.5 THEN 'insufficient' WHEN {x}[1] = list_max({x}) THEN 'support' WHEN {x}[2] = list_max({x}) THEN 'contradict' ELSE 'insufficient' END"
+_BEST = f"""w AS (SELECT item_id AS id, text, {_WORDS} AS ws FROM benchmark), k AS (SELECT a.id AS c_id, b.id AS e_id, len(list_intersect(a.ws, b.ws)) AS shared FROM w a JOIN w b ON a.id <> b.id),
+b AS (SELECT c_id, arg_max(e_id, (shared, -e_id)) AS e_id FROM k WHERE shared > 0 GROUP BY c_id)"""
+
+
 def _triaged(spark, sf_dir):
     """Every item against its best other item as evidence."""
     pairs = P.sharing_words(_items(spark, sf_dir, "c", "t"), _items(spark, sf_dir, "e", "t"), "c_id", "e_id", "t", "t").where("c_id <> e_id")
@@ -129,13 +141,23 @@ def _triaged(spark, sf_dir):
     return best.join(_items(spark, sf_dir, "c", "claim"), "c_id").join(_items(spark, sf_dir, "e", "evidence"), "e_id")
 
 
-@query()
+@query(
+    f"""WITH {_BEST}, r AS (SELECT c_id, e_id, {_RAW.format(e="e", c="c")} AS r FROM b JOIN w c ON c.id = c_id JOIN w e ON e.id = e_id), s AS (SELECT c_id, e_id, {_SHARES.format(r="r", t="0.6")} AS x FROM r)
+SELECT c_id, e_id, round(x[1], 6) AS support, round(x[2], 6) AS contradict, round(x[3], 6) AS insufficient, {_TOP.format(x="x")} AS label FROM s"""
+)
 def entailment_triage(spark, sf_dir):
     t = _triaged(spark, sf_dir).withColumn("t", G.triage(F.col("evidence"), F.col("claim")))
     return t.select("c_id", "e_id", *[F.round(f"t.{n}", 6).alias(n) for n in ("support", "contradict", "insufficient")], G.top_label(F.col("t")).alias("label"))
 
 
-@query()
+@query(
+    rf"""WITH {_BEST}, z AS (SELECT id, array_to_string(list_filter(regexp_split_to_array(text, '\s+'), lambda x: x <> '')[1:12], ' ') AS text FROM w), h AS (SELECT id, text, {_WORDS} AS ws FROM z),
+r AS (SELECT c.text AS long, h.text AS short, {_RAW.format(e="e", c="c")} AS rc, {_RAW.format(e="e", c="h")} AS rm, {_RAW.format(e="c", c="h")} AS rx FROM b JOIN w c ON c.id = c_id JOIN w e ON e.id = e_id JOIN h ON h.id = c_id),
+s AS (SELECT lower(trim(long, chr(32)||chr(9)||chr(10)||chr(13))) = lower(short) AS same, {_SHARES.format(r="rc", t="0.6")} AS xc, {_SHARES.format(r="rm", t="0.6")} AS xm, {_SHARES.format(r="rx", t="0.6")} AS xx FROM r),
+l AS (SELECT same, greatest(xc[2], xm[2], xx[2]) >= 0.5 AS against, {_TOP.format(x="xc")} AS a, {_TOP.format(x="xm")} AS b, {_TOP.format(x="xx")} AS m FROM s),
+o AS (SELECT CASE WHEN against THEN 5 WHEN same AND a = 'support' THEN 1 WHEN a = 'support' AND b = 'support' AND m = 'support' THEN 2 WHEN a = 'support' AND m <> 'support' THEN 3 WHEN b = 'support' AND a <> 'support' THEN 4 WHEN a = 'insufficient' AND b = 'insufficient' AND m = 'insufficient' THEN 7 ELSE 6 END AS outcome FROM l)
+SELECT outcome, count(*) AS n, outcome IN (1, 2, 4, 7) AS desirable FROM o GROUP BY outcome"""
+)
 def claim_outcomes(spark, sf_dir):
     """Outcomes 1 to 7 and the share of desirable ones."""
     t = _triaged(spark, sf_dir)
@@ -145,7 +167,10 @@ def claim_outcomes(spark, sf_dir):
     return got.groupBy("outcome").agg(F.count(F.lit(1)).alias("n"), F.max(F.col("outcome").isin(1, 2, 4, 7)).alias("desirable"))
 
 
-@query()
+@query(
+    f"""WITH {_BEST}, r AS (SELECT {_RAW.format(e="e", c="c")} AS r FROM b JOIN w c ON c.id = c_id JOIN w e ON e.id = e_id), t AS (SELECT unnest([0.4, 0.6, 0.8, 1.0, 1.2])::double AS temperature),
+m AS (SELECT temperature, round(avg(-ln(greatest(({_SHARES.format(r="r", t="temperature")})[1], 1e-9))), 6) AS mean_nll FROM r, t GROUP BY temperature) SELECT temperature, mean_nll, mean_nll = min(mean_nll) OVER () AS best FROM m"""
+)
 def calibration_grid(spark, sf_dir):
     """Mean negative log-likelihood of the label `support` for every temperature; the least one is marked."""
     t = _triaged(spark, sf_dir)
@@ -168,7 +193,21 @@ def debate_scores(spark, sf_dir):
     return d.select("doc_id", G.total_score(e, b, (F.col("doc_id") % 5) / 4.0, F.when(F.col("source") == "src0", 1.0).otherwise(0.0)).alias("total"))
 
 
-@query()
+def _any(patterns, joined=" OR "):
+    return "(" + joined.join(f"regexp_matches(text, '(?i){p}')" + ("" if joined == " OR " else "::int") for p in patterns) + ")"
+
+
+_FACTS = f"""(list_has_any(ws, {list(X.FACT_VERBS)}) AND len(list_filter(ws, lambda x: length(x) > 3 AND x NOT IN {X.PLAIN_WORDS})) >= CASE WHEN list_has_any(ws, {list(X.PARTICIPLES)}) THEN 1 ELSE 2 END)"""
+
+
+_MARKED = f"*, {_FACTS} AS fact, {_any(X.HEDGES)} AS hedged, {_any(X.VERIFIABLE, ' + ')} AS n, contains(text,'```') AS fence, contains(text,'{{') AS brace, contains(text,'[') AS bracket"
+_VERIFIABLE = f"NOT regexp_matches(lower(trim(text)), '{X.GENERIC}') AND (fence OR brace OR bracket OR n > 0 OR fact)"
+_CONFIDENCE = """round(greatest(0.0, least(1.0, 0.5::double + least(n*0.1::double, 0.3::double) + CASE WHEN fence THEN 0.1 ELSE 0.0 END::double + CASE WHEN brace AND contains(text,'}') THEN 0.1 ELSE 0.0 END::double + CASE WHEN bracket AND contains(text,']') THEN 0.05 ELSE 0.0 END::double
+ + CASE WHEN fact THEN 0.1 ELSE 0.0 END::double - CASE WHEN hedged THEN 0.2 ELSE 0.0 END::double)), 4)"""
+_SPLIT_WORDS = r"list_filter(regexp_split_to_array(lower(text), '\s+'), lambda x: x <> '') AS ws"
+
+
+@query(f"WITH w AS (SELECT item_id, text, {_SPLIT_WORDS} FROM benchmark), t AS (SELECT {_MARKED} FROM w) SELECT item_id, {_VERIFIABLE} AS verifiable, hedged, fact AS fact_structure, {_CONFIDENCE} AS confidence FROM t")
 def verifiable_score(spark, sf_dir):
     t = F.col("text")
     return read_table(spark, sf_dir, "benchmark").select("item_id", X.is_verifiable(t).alias("verifiable"), X.is_hedged(t).alias("hedged"), X.has_fact_structure(t).alias("fact_structure"), F.round(X.claim_confidence(t), 4).alias("confidence"))

@@ -236,7 +236,13 @@ def normal_forms(spark, sf_dir):
     return read_table(spark, sf_dir, "documents").select("doc_id", F.md5(P.normal_form(F.col("text"))).alias("digest"))
 
 
-@query()
+@query(
+    """WITH t AS (SELECT conv_id, role, row_number() OVER (PARTITION BY conv_id ORDER BY turn, role) - 1 AS i FROM conversations),
+s AS (SELECT conv_id, role, i, max(i) FILTER (role = 'user') OVER (PARTITION BY conv_id ORDER BY i) AS u, max(i) FILTER (role = 'assistant') OVER (PARTITION BY conv_id ORDER BY i ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING) AS a FROM t),
+p AS (SELECT conv_id, u, i + 1 AS e, lag(i + 1) OVER (PARTITION BY conv_id ORDER BY i) AS le FROM s WHERE role = 'assistant' AND u > coalesce(a, -1)),
+n AS (SELECT conv_id, count(*) AS n, count(*) FILTER (le IS NULL OR u > le) AS m FROM p GROUP BY conv_id), l AS (SELECT conv_id, max(i) FILTER (role = 'user') AS u, max(i) FILTER (role = 'assistant') AS a FROM t GROUP BY conv_id)
+SELECT conv_id, coalesce(n, 0)::int AS n_spans, coalesce(m, 0)::int AS n_merged, u IS NOT NULL AND u > coalesce(a, -1) AS unclosed FROM l LEFT JOIN n USING (conv_id)"""
+)
 def marked_spans(spark, sf_dir):
     """Spans from a user turn to the next assistant turn, by conversation."""
     c = read_table(spark, sf_dir, "conversations").groupBy("conv_id").agg(F.transform(F.array_sort(F.collect_list(F.struct("turn", "role"))), lambda t: t["role"]).alias("roles"))
