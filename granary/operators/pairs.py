@@ -15,8 +15,56 @@ def sharing_words(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_text: str,
     return left.join(right, "word").groupBy(a_id, b_id).agg(F.count(F.lit(1)).alias("shared"), F.first("a_words").alias("a_words"), F.first("b_words").alias("b_words"))
 
 
-def jaccard(pairs: DataFrame) -> DataFrame:
-    return pairs.withColumn("jaccard", F.col("shared") / (F.col("a_words") + F.col("b_words") - F.col("shared")))
+def similar(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_text: str, b_text: str, above: float) -> DataFrame:
+    """a_id, b_id, jaccard of all pairs whose words have a Jaccard similarity above `above`.
+
+    Such a pair shares a word among the rarest n - floor(above * n) words of either side, so only those are joined: the commonest words
+    never are. Pairs of too unequal size are left out before they are compared.
+    """
+    side = lambda df, i, t, n: df.select(F.col(i).alias(f"{n}_id"), F.array_sort(token_words(F.col(t))).alias(f"{n}_w")).where(F.size(f"{n}_w") > 0)
+    left, right = side(a, a_id, a_text, "_a"), side(b, b_id, b_text, "_b")
+    seen = left.select(F.explode("_a_w").alias("_word")).unionByName(right.select(F.explode("_b_w").alias("_word"))).groupBy("_word").agg(F.count(F.lit(1)).alias("_df"))
+
+    def rare(df: DataFrame, n: str) -> DataFrame:
+        own = df.select(f"{n}_id", F.size(f"{n}_w").alias(f"{n}_n"), F.explode(f"{n}_w").alias("_word")).join(seen, "_word")
+        ranked = own.groupBy(f"{n}_id", f"{n}_n").agg(F.array_sort(F.collect_list(F.struct("_df", "_word"))).alias("_s"))
+        return ranked.select(f"{n}_id", f"{n}_n", F.explode(F.slice("_s", F.lit(1), F.col(f"{n}_n") - F.floor(F.col(f"{n}_n") * above).cast("int"))).alias("_x")).select(f"{n}_id", f"{n}_n", F.col("_x._word").alias("_word"))
+
+    fits = (F.col("_b_n") > F.col("_a_n") * above) & (F.col("_a_n") > F.col("_b_n") * above)
+    candidates = rare(left, "_a").join(rare(right, "_b"), "_word").where(fits).select("_a_id", "_b_id").distinct()
+    both = candidates.join(left, "_a_id").join(right, "_b_id").withColumn("_s", F.size(F.array_intersect("_a_w", "_b_w")))
+    return both.select(F.col("_a_id").alias(a_id), F.col("_b_id").alias(b_id), (F.col("_s") / (F.size("_a_w") + F.size("_b_w") - F.col("_s"))).alias("jaccard")).where(F.col("jaccard") > above)
+
+
+def contained(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_text: str, b_text: str) -> DataFrame:
+    """a_id, b_id of all pairs in which b's text holds a's, in any case. A text without a character is in none.
+
+    The words inside a's text (all but the first and the last, which may go on in b) are words of b, so the rarest of them is joined; texts
+    of two words or fewer, or without any, meet on their first three characters.
+    """
+    low = lambda c: F.lower(F.col(c))
+    left = a.select(F.col(a_id).alias("_a_id"), low(a_text).alias("_a_t")).where("_a_t <> ''")
+    right = b.select(F.col(b_id).alias("_b_id"), low(b_text).alias("_b_t"))
+    inner = F.array_distinct(F.filter(F.expr(r"slice(split(_a_t, '\\W+', -1), 2, greatest(size(split(_a_t, '\\W+', -1)) - 2, 0))"), lambda x: x != ""))
+    words = left.select("_a_id", "_a_t", inner.alias("_in"))
+    held = right.select("_b_id", F.explode(token_words(F.col("_b_t"))).alias("_word"))
+    seen = held.groupBy("_word").agg(F.count(F.lit(1)).alias("_df"))
+    # A word that b's texts don't have is rarest of all: its text is in none of them.
+    keyed = words.where(F.size("_in") > 0).select("_a_id", "_a_t", F.explode("_in").alias("_word")).join(seen, "_word", "left")
+    keyed = keyed.groupBy("_a_id", "_a_t").agg(F.min_by("_word", F.struct(F.coalesce("_df", F.lit(0)), "_word")).alias("_word"))
+    grams = F.flatten(F.transform(F.array(F.lit(1), F.lit(2), F.lit(3)), lambda n: F.transform(F.sequence(F.lit(1), F.length("_b_t")), lambda i: F.substring("_b_t", i, n))))
+    short = words.where(F.size("_in") == 0).select("_a_id", "_a_t", F.substring("_a_t", 1, 3).alias("_gram"))
+    parts = right.where("_b_t <> ''").select("_b_id", F.explode(F.array_distinct(grams)).alias("_gram"))
+    met = keyed.join(held, "_word").select("_a_id", "_a_t", "_b_id").unionByName(short.join(parts, "_gram").select("_a_id", "_a_t", "_b_id"))
+    return met.join(right, "_b_id").where(F.contains("_b_t", "_a_t")).select(F.col("_a_id").alias(a_id), F.col("_b_id").alias(b_id)).distinct()
+
+
+def supported(claims: DataFrame, evidence: DataFrame, claim_id: str, evidence_id: str, claim: str, text: str, above: float = 0.3) -> DataFrame:
+    """Claims that some evidence supports: similar words, or one text inside the other."""
+    near = similar(claims, evidence, claim_id, evidence_id, claim, text, above).select(claim_id)
+    inside = contained(claims, evidence, claim_id, evidence_id, claim, text).select(claim_id)
+    around = contained(evidence, claims, evidence_id, claim_id, text, claim).select(claim_id)
+    return claims.join(near.unionByName(inside).unionByName(around).distinct(), claim_id, "left_semi")
 
 
 def retrieve(claims: DataFrame, evidence: DataFrame, k: int = 6, diversity: float = 0.5) -> DataFrame:

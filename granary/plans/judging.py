@@ -111,15 +111,13 @@ def evidence_retrieval(spark, sf_dir):
 
 
 @query(
-    f"""WITH w AS (SELECT item_id, {_WORDS} AS ws FROM benchmark), e AS (SELECT item_id, len(ws) AS n, unnest(ws) AS word FROM w),
-p AS (SELECT a.item_id AS x, b.item_id AS y, count(*) AS s, any_value(a.n) AS m, any_value(b.n) AS n FROM e a JOIN e b USING (word) WHERE a.item_id <> b.item_id GROUP BY 1,2)
-SELECT DISTINCT x AS item_id FROM p WHERE s/(m+n-s)::double > 0.3"""
+    f"""WITH a AS (SELECT item_id, lower(text) AS t, {_WORDS} AS ws FROM benchmark), b AS (SELECT doc_id, lower(text) AS t, {_WORDS} AS ws FROM documents WHERE text IS NOT NULL)
+SELECT DISTINCT item_id FROM a, b WHERE contains(b.t, a.t) OR (b.t <> '' AND contains(a.t, b.t)) OR len(list_intersect(a.ws, b.ws)) / (len(a.ws) + len(b.ws) - len(list_intersect(a.ws, b.ws)))::double > 0.3"""
 )
 def claim_support_semijoin(spark, sf_dir):
-    """Items that another item supports: Jaccard above .3 of the words. Containment implies shared words, and is tested by its own query."""
-    a = _items(spark, sf_dir, "x", "t")
-    pairs = P.jaccard(P.sharing_words(a, _items(spark, sf_dir, "y", "t"), "x_id", "y_id", "t", "t").where("x_id <> y_id")).where("jaccard > 0.3")
-    return a.join(pairs, "x_id", "left_semi").select(F.col("x_id").alias("item_id"))
+    """Benchmark items that a document supports: Jaccard above .3 of the words, or one text inside the other."""
+    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    return P.supported(_items(spark, sf_dir, "item", "claim"), d, "item_id", "doc_id", "claim", "text").select("item_id")
 
 
 # The triage of evidence `e` and claim `c` (aliases of rows with text and ws), as logits and shares.
