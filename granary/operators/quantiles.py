@@ -34,7 +34,7 @@ def order_statistics(df: DataFrame, group: list[str], value: Column, ranks: dict
     """
     rows = df.where(value.isNotNull()).select(*group, value.cast("double").alias("_v"))
     shares = F.array(*[F.lit(i / parts) for i in range(1, parts)])
-    cuts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", shares, F.lit(100 * parts)).alias("_cuts"))
+    cuts = rows.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.percentile_approx("_v", shares, F.lit(16 * parts)).alias("_cuts"))
     own = [F.col(g).alias(f"_g{i}") for i, g in enumerate(group)]
     keys = [f"_g{i}" for i in range(len(group))]
 

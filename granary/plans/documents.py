@@ -10,7 +10,7 @@ from granary.operators.filters import cascade_reasons
 from granary.operators.ordered import keep_first
 from granary.plans.catalog import query
 from granary.plans.judging import _CONFIDENCE, _MARKED, _SPLIT_WORDS, _VERIFIABLE
-from granary.session import read_table
+from granary.session import read_spread, read_table
 
 # SQL pieces of the texts' rules.
 _STRIP = r"regexp_replace(coalesce(text,''), '^\s+|\s+$', '', 'g')"
@@ -27,13 +27,13 @@ d AS (SELECT coalesce(reason, CASE WHEN row_number() OVER (PARTITION BY reason,
 SELECT reason, count(*) AS n FROM d GROUP BY reason"""
 )
 def filter_cascade(spark, sf_dir):
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
     return cascade_reasons(docs, min_length=200, max_length=20000, remove_truncated=True, dedupe=True).groupBy("reason").agg(F.count(F.lit(1)).alias("n"))
 
 
 @query(f"SELECT doc_id, {_TRUNCATED} AS truncated FROM documents")
 def truncation_flags(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", X.is_truncated(F.col("text")).alias("truncated"))
+    return read_spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.is_truncated(F.col("text")).alias("truncated"))
 
 
 @query("SELECT min(doc_id) AS doc_id, sha256(text) AS digest FROM documents GROUP BY sha256(text)")
@@ -141,7 +141,7 @@ def _sql_redact(c: str) -> str:
 
 @query(f"SELECT doc_id, md5({_sql_redact('text')}) AS redacted_md5 FROM documents")
 def pii_redact(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.md5(X.redact(F.col("text"))).alias("redacted_md5"))
+    return read_spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.md5(X.redact(F.col("text"))).alias("redacted_md5"))
 
 
 def _sql_count(p: str, c: str = "text") -> str:
@@ -151,7 +151,7 @@ def _sql_count(p: str, c: str = "text") -> str:
 @query(f"SELECT doc_id, {_sql_count(_E)} AS emails, {_sql_count(_U)} AS uuids, {_sql_count(_P)} AS phones, {_sql_count(_C)} AS cards FROM documents")
 def pii_counts(spark, sf_dir):
     t = F.col("text")
-    return read_table(spark, sf_dir, "documents").select("doc_id", X.count_matches(t, _E).alias("emails"), X.count_matches(t, _U).alias("uuids"), X.count_matches(t, _P).alias("phones"), X.count_matches(t, _C).alias("cards"))
+    return read_spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.count_matches(t, _E).alias("emails"), X.count_matches(t, _U).alias("uuids"), X.count_matches(t, _P).alias("phones"), X.count_matches(t, _C).alias("cards"))
 
 
 _ADDRESSES = rf"list_concat(regexp_extract_all(text, '{X.EMAIL}'), regexp_extract_all(text, '{X.PHONE_BOUNDED}'))"
@@ -166,7 +166,7 @@ SELECT doc_id, len(regexp_extract_all(text, '{X.EMAIL}')) AS emails_found, uuids
 len(list_filter(k, lambda x: x = 'contextual')) AS contextual, len(k) = 0 AND uuids = 0 AND ok AS privacy_ok FROM b"""
 )
 def privacy_severity(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", X.privacy(F.col("text")).alias("p")).select("doc_id", "p.*")
+    return read_spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", X.privacy(F.col("text")).alias("p")).select("doc_id", "p.*")
 
 
 _HOSTS = r"list_transform(regexp_extract_all(html, 'https?://([^/\s]+)', 1), lambda h: regexp_replace(lower(h), '^www\.', ''))"
@@ -202,7 +202,7 @@ _HEUR = rf"""CASE WHEN {_STRIP} = '' THEN 0.0 ELSE greatest(0.0, least(1.0, 0.5:
 
 @query(f"SELECT doc_id, round({_HEUR}, 4)::double AS score FROM documents")
 def quality_heuristic(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.round(X.heuristic_quality(F.col("text")), 4).alias("score"))
+    return read_spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.round(X.heuristic_quality(F.col("text")), 4).alias("score"))
 
 
 _STRUCT = rf"""CASE WHEN {_STRIP} = '' THEN 0.0 ELSE least(1.0,
@@ -213,7 +213,7 @@ _STRUCT = rf"""CASE WHEN {_STRIP} = '' THEN 0.0 ELSE least(1.0,
 
 @query("SELECT doc_id, round(" + _STRUCT.replace("html_text", "text") + ", 4)::double AS score FROM documents")
 def structure_score(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.round(X.structure_score(F.col("text")), 4).alias("score"))
+    return read_spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.round(X.structure_score(F.col("text")), 4).alias("score"))
 
 
 _OBJECTS = r"regexp_extract_all(text, '\{(?:[^{}]|\{(?:[^{}]|\{[^{}]*\})*\})*\}')"
@@ -231,7 +231,7 @@ def composite_quality(spark, sf_dir):
 
     t = F.col("text")
     score = X.heuristic_quality(t) * 0.6 + validity_score(t) * 0.2 + X.code_block_score(t) * 0.2
-    return read_table(spark, sf_dir, "documents").select("doc_id", F.round(score, 4).alias("score"))
+    return read_spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.round(score, 4).alias("score"))
 
 
 def _sql_bounds(p: str) -> str:
@@ -245,7 +245,7 @@ def _sql_bounds(p: str) -> str:
     + "], lambda x: x IS NOT NULL)) AS category FROM documents) GROUP BY category"
 )
 def claim_categories(spark, sf_dir):
-    return read_table(spark, sf_dir, "documents").select(F.explode(X.categories(F.col("text"))).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
+    return read_spread(spark, sf_dir, "documents", "doc_id", "text").select(F.explode(X.categories(F.col("text"))).alias("category")).groupBy("category").agg(F.count(F.lit(1)).alias("n"))
 
 
 _BLANKS = "chr(32)||chr(9)||chr(10)||chr(11)||chr(12)||chr(13)"
@@ -261,7 +261,7 @@ x AS (SELECT doc_id, si, unnest(parts) AS text, generate_subscripts(parts, 1) AS
 )
 def claim_extract(spark, sf_dir):
     """Claims of every document with their confidence."""
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", F.posexplode(X.claims(F.col("text"))).alias("pos", "statement"))
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text").select("doc_id", F.posexplode(X.claims(F.col("text"))).alias("pos", "statement"))
     return docs.select("doc_id", "pos", "statement", F.round(X.claim_confidence(F.col("statement")), 4).alias("confidence"))
 
 
@@ -271,7 +271,7 @@ SELECT doc_id, coalesce(n, 0)::int AS n_claims, total AS n_sentences, CASE WHEN
 )
 def claim_metrics(spark, sf_dir):
     """Claims and sentences of a text, and their ratio."""
-    docs = read_table(spark, sf_dir, "documents")
+    docs = read_spread(spark, sf_dir, "documents", "doc_id", "text")
     n = F.size(X.claims(F.col("text")))
     total = F.size(F.filter(F.split("text", r"[.!?]\s+"), lambda s: X.strip(s) != ""))
     return docs.select("doc_id", n.alias("n_claims"), total.alias("n_sentences"), F.when(total > 0, F.least(F.lit(1.0), n / total)).otherwise(0.0).alias("success_rate"))

@@ -32,6 +32,20 @@ def read_table(spark: SparkSession, sf_dir: str, name: str) -> DataFrame:
     return spark.read.parquet(f"{sf_dir}/{name}.parquet")
 
 
+#: Largest table, in bytes as Spark estimates them, that read_spread deals out anew.
+SPREAD_BYTES = 1 << 30
+
+
+def read_spread(spark: SparkSession, sf_dir: str, name: str, *columns: str) -> DataFrame:
+    """Columns of a table (all if none is named) for work that costs far more than reading: a small table is dealt to as many tasks as the
+    session has cores, because a file of one row group is one task however many cores wait. Large tables are read as they are."""
+    df = read_table(spark, sf_dir, name)
+    df = df.select(*columns) if columns else df
+    cores = spark.sparkContext.defaultParallelism
+    size = int(str(df._jdf.queryExecution().optimizedPlan().stats().sizeInBytes()))
+    return df.repartition(cores) if size < SPREAD_BYTES and df._jdf.rdd().getNumPartitions() <= cores else df
+
+
 def ship_package(spark: SparkSession) -> None:
     """Send this package to the Python workers, once for each application."""
     sc = spark.sparkContext
