@@ -9,18 +9,18 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.llm import bpe, chat_format, decontamination, language_id, near_duplicates, quality_classifier, quality_rules, secret_scan, sharding, token_counts
-from granary.session import read_table
+from granary.session import read_spread, read_table
 
 
 def op1_language_id(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = read_spread(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     model = language_id.train(spark, docs.where(~language_id.held_out(F.col("doc_id"))))
     found = language_id.identify(spark, docs.select("doc_id", "text"), model)
     return found.select("doc_id", language_id.held_out(F.col("doc_id")).alias("held_out"), "lang_pred", "score", "languages", "proportions")
 
 
 def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text")
+    docs = read_spread(spark, sf_dir, "documents").select("doc_id", "text")
     learn = docs.where(~quality_classifier.held_out(F.col("doc_id")))
     model = quality_classifier.train(spark, learn, read_table(spark, sf_dir, "labels"))
     found = quality_classifier.classify(spark, docs, model)
@@ -28,20 +28,20 @@ def op2_quality_classifier(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op3_ngram_jaccard_join(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates.find(spark, read_table(spark, sf_dir, "documents")).drop("text_md5")
+    return near_duplicates.find(spark, read_spread(spark, sf_dir, "documents")).drop("text_md5")
 
 
 def op4_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     vocabulary = bpe.Vocabulary(public_tokenizers.path("byte_bpe_multi_50k.tiktoken"), public_tokenizers.PATTERN)
-    return bpe.encode(spark, read_table(spark, sf_dir, "documents"), vocabulary)
+    return bpe.encode(spark, read_spread(spark, sf_dir, "documents"), vocabulary)
 
 
 def op5_secret_scan(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return secret_scan.scan_secrets(spark, read_table(spark, sf_dir, "documents"))
+    return secret_scan.scan_secrets(spark, read_spread(spark, sf_dir, "documents"))
 
 
 def op6_string_tiling(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return decontamination.find_leaks(spark, read_table(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
+    return decontamination.find_leaks(spark, read_spread(spark, sf_dir, "documents"), read_table(spark, sf_dir, "benchmark"))
 
 
 def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -49,12 +49,12 @@ def op7_hypergeometric_shards(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op8_quality_rules(spark: SparkSession, sf_dir: str) -> DataFrame:
-    docs = read_table(spark, sf_dir, "documents").select("doc_id", "text", "lang")
+    docs = read_spread(spark, sf_dir, "documents").select("doc_id", "text", "lang")
     return quality_rules.apply_rules(spark, docs, quality_rules.references(spark, docs))
 
 
 def op9_token_counts(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return token_counts.count_tokens(spark, read_table(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
+    return token_counts.count_tokens(spark, read_spread(spark, sf_dir, "documents"), public_tokenizers.path("byte_bpe_50k.json"))
 
 
 def op10_chat_format(spark: SparkSession, sf_dir: str) -> DataFrame:
