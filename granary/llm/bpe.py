@@ -31,7 +31,9 @@ from granary.session import ship_package
 
 BLOCK_CHARS, LONG_PIECE = 6 << 20, 128
 #: Folded pieces that a task remembers.
-HELD_PIECES = 300_000
+HELD_PIECES = 1 << 16
+#: Rows whose results are Python objects at one time.
+ROWS_AT_ONCE = 256
 _NONE = 1 << 30
 _MULTIPLIERS = (40503, 60493)
 
@@ -272,13 +274,16 @@ def _encode_column(path: str, pattern: str, with_ids: bool):
             _encoders[path, pattern] = Encoder(path, pattern)
         encoder = _encoders[path, pattern]
         for batch in batches:
-            rows = []
-            for x in batch:
-                row = encoder.text(x.as_py())
-                if with_ids:
-                    row["token_ids"] = np.array(row["token_ids"].split(","), dtype=np.int32) if row["token_ids"] else np.zeros(0, np.int32)
-                rows.append({n: row[n] for n in names})
-            yield pa.array(rows, fields)
+            parts = [pa.array([], fields)]
+            for at in range(0, len(batch), ROWS_AT_ONCE):
+                rows = []
+                for x in batch.slice(at, ROWS_AT_ONCE):
+                    row = encoder.text(x.as_py())
+                    if with_ids:
+                        row["token_ids"] = np.array(row["token_ids"].split(","), dtype=np.int32) if row["token_ids"] else np.zeros(0, np.int32)
+                    rows.append({n: row[n] for n in names})
+                parts.append(pa.array(rows, fields))
+            yield pa.concat_arrays(parts)
 
     return F.arrow_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)
 
