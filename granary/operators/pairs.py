@@ -2,10 +2,17 @@
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from collections.abc import Iterator
+
+import pyarrow as pa
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from granary.functions.judging import token_words
+from granary.session import fresh, ship_package
+
+#: Bytes of claims that every task holds at one time, and most such blocks.
+BLOCK_BYTES, MOST_BLOCKS = 4 << 20, 8
 
 
 def sharing_words(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_text: str, b_text: str) -> DataFrame:
@@ -60,7 +67,46 @@ def contained(a: DataFrame, b: DataFrame, a_id: str, b_id: str, a_text: str, b_t
 
 
 def supported(claims: DataFrame, evidence: DataFrame, claim_id: str, evidence_id: str, claim: str, text: str, above: float = 0.3) -> DataFrame:
-    """Claims that some evidence supports: similar words, or one text inside the other."""
+    """Claims that some evidence supports: similar words, or one text inside the other.
+
+    The claims' texts go to every task in blocks of at most BLOCK_BYTES or, if that is larger, one text. Each block is one pass over the
+    evidence, which is never shuffled: a task gives out each claim once. Claims of more than MOST_BLOCKS blocks meet evidence by joins.
+    """
+    (own,) = fresh(claims, "_claim")
+    texts = claims.select(F.lower(F.col(claim)).alias(own)).where(F.col(own) != "").distinct()
+    size = texts.agg(F.sum(F.octet_length(own))).first()[0] or 0
+    n = -(-size // BLOCK_BYTES)
+    if n > MOST_BLOCKS:
+        return supported_by_joins(claims, evidence, claim_id, evidence_id, claim, text, above)
+    if not n:
+        return claims.where(F.lit(False))
+    found = None
+    for b in range(n):
+        block = texts if n == 1 else texts.where(F.pmod(F.xxhash64(own), F.lit(n)) == b)
+        seen = evidence.select(F.lower(F.col(text)).alias(own)).mapInArrow(_search(evidence.sparkSession, sorted(r[0] for r in block.collect()), above, own), f"`{own}` string")
+        found = seen if found is None else found.unionByName(seen)
+    return claims.join(found.distinct(), F.lower(F.col(claim)) == F.col(own), "left_semi")
+
+
+def _search(spark: SparkSession, claims: list[str], above: float, name: str):
+    from granary.operators._support import Index, Search
+
+    ship_package(spark)
+    sent = spark.sparkContext.broadcast(Index(claims, above))
+
+    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        index = sent.value
+        search = Search(index)
+        for batch in batches:
+            for x in batch.column(0):
+                search.read(x.as_py())
+        yield pa.RecordBatch.from_arrays([pa.array([index.claims[i] for i in search.found.nonzero()[0]], pa.string())], [name])
+
+    return run
+
+
+def supported_by_joins(claims: DataFrame, evidence: DataFrame, claim_id: str, evidence_id: str, claim: str, text: str, above: float = 0.3) -> DataFrame:
+    """The same by joins on words, for claims of any size."""
     near = similar(claims, evidence, claim_id, evidence_id, claim, text, above).select(claim_id)
     inside = contained(claims, evidence, claim_id, evidence_id, claim, text).select(claim_id)
     around = contained(evidence, claims, evidence_id, claim_id, text, claim).select(claim_id)

@@ -9,7 +9,7 @@ from granary.functions import judging as G
 from granary.functions import text as X
 from granary.operators import pairs as P
 from granary.plans.catalog import query
-from granary.session import read_table
+from granary.session import read_spread, read_table
 
 
 def _rated(spark, sf_dir):
@@ -116,8 +116,11 @@ SELECT DISTINCT item_id FROM a, b WHERE contains(b.t, a.t) OR (b.t <> '' AND con
 )
 def claim_support_semijoin(spark, sf_dir):
     """Benchmark items that a document supports: Jaccard above .3 of the words, or one text inside the other."""
-    d = read_table(spark, sf_dir, "documents").select("doc_id", "text")
-    return P.supported(_items(spark, sf_dir, "item", "claim"), d, "item_id", "doc_id", "claim", "text").select("item_id")
+    d = read_spread(spark, sf_dir, "documents", "doc_id", "text")
+    items = _items(spark, sf_dir, "item", "claim")
+    some = read_table(spark, sf_dir, "documents").where("text IS NOT NULL").select(F.lit(True).alias("some")).limit(1)
+    blank = items.where("claim = ''").crossJoin(some)  # an empty claim is in every text, as the SQL has it
+    return P.supported(items, d, "item_id", "doc_id", "claim", "text").select("item_id").unionByName(blank.select("item_id")).distinct()
 
 
 # The triage of evidence `e` and claim `c` (aliases of rows with text and ws), as logits and shares.
