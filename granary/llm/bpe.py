@@ -19,6 +19,7 @@ from __future__ import annotations
 import base64
 import hashlib
 import heapq
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -27,13 +28,12 @@ from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 from pyspark.sql import types as T
 
+from granary.llm.held import give_back, held, small_batches
 from granary.session import ship_package
 
 BLOCK_CHARS, LONG_PIECE = 6 << 20, 128
 #: Folded pieces that a task remembers.
 HELD_PIECES = 300_000
-#: Rows whose results are Python objects at one time.
-ROWS_AT_ONCE = 256
 _NONE = 1 << 30
 _MULTIPLIERS = (40503, 60493)
 
@@ -237,53 +237,49 @@ class Encoder:
         ranks = load_ranks(path)
         self.pairs = pair_ranks(ranks)
         self.first = [ranks[bytes([b])] for b in range(256)]
-        self.tokens = {rank: token for token, rank in ranks.items()}
-        self._known: dict[str, tuple[int, str, bytes]] = {}
+        # The token and the decimal form of every id.
+        self.tokens = [b""] * (max(ranks.values()) + 1)
+        for token, rank in ranks.items():
+            self.tokens[rank] = token
+        self.decimals = [str(i) for i in range(len(self.tokens))]
+        self._known: dict[str, tuple[int, ...]] = {}
 
-    def piece(self, word: str) -> tuple[int, str, bytes]:
-        """Number of ids, the ids joined by commas, and the bytes they decode to."""
+    def piece(self, word: str) -> tuple[int, ...]:
+        """The ids of a piece; they are objects of the rank map, so a held piece is little more than its text."""
         if len(self._known) >= HELD_PIECES:
             self._known.clear()
-        ids = merge([self.first[b] for b in word.encode("utf-8", "surrogatepass")], self.pairs)
-        out = len(ids), ",".join(map(str, ids)), b"".join([self.tokens[i] for i in ids])
+        out = tuple(merge([self.first[b] for b in word.encode("utf-8", "surrogatepass")], self.pairs))
         if len(word) <= LONG_PIECE:
             self._known[word] = out
         return out
 
-    def text(self, text: str | None) -> dict:
-        known, piece = self._known, self.piece
-        parts = [known[w] if w in known else piece(w) for w in self.find(text or "")]
-        ids = ",".join([p[1] for p in parts])
-        return {
-            "n_tokens": sum([p[0] for p in parts]),
-            "ids_sha256": hashlib.sha256(ids.encode()).hexdigest(),
-            "decoded_sha256": hashlib.sha256(b"".join([p[2] for p in parts])).hexdigest(),
-            "token_ids": ids,
-        }
-
-
-_encoders: dict[tuple[str, str], Encoder] = {}
+    def ids(self, text: str | None) -> list[int]:
+        known, piece, out = self._known, self.piece, []
+        for w in self.find(text or ""):
+            out += known[w] if w in known else piece(w)
+        return out
 
 
 def _encode_column(path: str, pattern: str, with_ids: bool):
     names = ["n_tokens", "ids_sha256", "decoded_sha256"] + ["token_ids"] * with_ids
-    fields = pa.struct([("n_tokens", pa.int64()), ("ids_sha256", pa.string()), ("decoded_sha256", pa.string())] + [("token_ids", pa.list_(pa.int32()))] * with_ids)
 
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
-        if (path, pattern) not in _encoders:
-            _encoders[path, pattern] = Encoder(path, pattern)
-        encoder = _encoders[path, pattern]
+        encoder = held(("bpe", path, pattern), lambda: Encoder(path, pattern))
+        decimals, tokens = encoder.decimals, encoder.tokens
         for batch in batches:
-            parts = [pa.array([], fields)]
-            for at in range(0, len(batch), ROWS_AT_ONCE):
-                rows = []
-                for x in batch.slice(at, ROWS_AT_ONCE):
-                    row = encoder.text(x.as_py())
-                    if with_ids:
-                        row["token_ids"] = np.array(row["token_ids"].split(","), dtype=np.int32) if row["token_ids"] else np.zeros(0, np.int32)
-                    rows.append({n: row[n] for n in names})
-                parts.append(pa.array(rows, fields))
-            yield pa.concat_arrays(parts)
+            upto, said, decoded, flat = [0], [], [], array("i")
+            for x in batch:
+                ids = encoder.ids(x.as_py())
+                said.append(hashlib.sha256(",".join([decimals[i] for i in ids]).encode()).hexdigest())
+                decoded.append(hashlib.sha256(b"".join([tokens[i] for i in ids])).hexdigest())
+                upto.append(upto[-1] + len(ids))
+                if with_ids:
+                    flat.extend(ids)
+            columns = [pa.array(np.diff(upto), pa.int64()), pa.array(said, pa.string()), pa.array(decoded, pa.string())]
+            if with_ids:
+                columns.append(pa.ListArray.from_arrays(pa.array(upto, pa.int32()), pa.array(np.array(flat, np.int32), pa.int32())))
+            yield pa.StructArray.from_arrays(columns, names)
+        give_back()
 
     return F.arrow_udf(run, "n_tokens long, ids_sha256 string, decoded_sha256 string" + ", token_ids array<int>" * with_ids)
 
@@ -292,6 +288,7 @@ def encode(spark: SparkSession, docs: DataFrame, vocabulary: Vocabulary, text: s
     """One row per document: id, n_tokens, ids_sha256 (of decimal ids joined by commas), decoded_sha256 (of the decoded bytes), and with
     `with_ids` the ids themselves. The fold runs in Arrow functions."""
     ship_package(spark)
+    small_batches(spark)
     done = _encode_column(vocabulary.path, vocabulary.pattern, with_ids)(F.col(text))
     return docs.select(F.col(id_col), done.alias("_r")).select(id_col, "_r.*")
 

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.held import alone, small_batches
 from granary.session import fresh, ship_package
 
 SEED, COVERAGE, BLOCK_TOKENS = 5, 0.5, 1 << 20
@@ -222,6 +223,7 @@ _DDL = "array<struct<item_id:bigint,item_tokens:bigint,matched_tokens:bigint,n_t
 def _match_column(spark: SparkSession, index: Index, coverage: float):
     sent = spark.sparkContext.broadcast(index)
 
+    @alone
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         for batch in batches:
             yield pa.array([sent.value.matches(x.as_py(), coverage) for x in batch], _FIELDS)
@@ -242,6 +244,7 @@ def find_leaks(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, cover
 def drop_contaminated(spark: SparkSession, docs: DataFrame, benchmark: DataFrame, coverage: float = COVERAGE, text: str = "text") -> DataFrame:
     """`docs` without those that hold an item; all columns stay."""
     ship_package(spark)
+    small_batches(spark)
     for index in blocks(benchmark):
         (m,) = fresh(docs, "_match")
         docs = docs.withColumn(m, _match_column(spark, index, coverage)(F.col(text))).where(F.size(m) == 0).drop(m)

@@ -25,6 +25,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.held import alone, small_batches
 from granary.session import fresh, ship_package
 
 BUCKETS, ROWS_PER_LANGUAGE, SMOOTH = 1 << 15, 10_000, 0.5
@@ -70,6 +71,7 @@ def trigram_buckets(text: str) -> tuple[np.ndarray, np.ndarray]:
     return at, n[at]
 
 
+@alone
 def _train_batches(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
     total: dict[str, np.ndarray] = {}
     for batch in batches:
@@ -169,9 +171,11 @@ _OUT = pa.struct([("lang_pred", pa.string()), ("score", pa.float64()), ("languag
 def predictor(spark: SparkSession, model: Model):
     """A function of a text column that gives lang_pred, score, languages and proportions."""
     ship_package(spark)
+    small_batches(spark)
     sent = spark.sparkContext.broadcast(model)
 
     @F.arrow_udf("lang_pred string, score double, languages array<string>, proportions array<double>")
+    @alone
     def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         m = sent.value
         for batch in batches:

@@ -41,6 +41,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.held import alone, give_back, release, small_batches
 from granary.session import Scratch, fresh, ship_package
 
 WORDS, THRESHOLD = 5, 0.8
@@ -142,6 +143,7 @@ def node_of(shingles: np.ndarray, text: str | None) -> bytes:
     return hashlib.blake2b(data, digest_size=16).digest()
 
 
+@alone
 def _node_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     kind = pa.struct([("node", pa.binary()), ("sig", pa.binary())])
     for batch in batches:
@@ -183,6 +185,7 @@ class Members:
     def may_hold(self, h: Column) -> Column:
         may = self._filter()
 
+        @alone
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
                 yield pa.array(may(batch.to_numpy(zero_copy_only=False).astype(np.int64)))
@@ -193,6 +196,7 @@ class Members:
         """Of an array of hashes, those that may be in it."""
         may = self._filter()
 
+        @alone
         def run(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
             for batch in batches:
                 values, offsets = batch.flatten(), np.concatenate(([0], np.cumsum(np.diff(batch.offsets.to_numpy()))))
@@ -336,6 +340,12 @@ def _unit(threshold: float):
     fields = pa.schema([("node", pa.binary()), ("links", pa.int64()), ("linked_docs", pa.int64()), ("root", pa.binary())])
 
     def run(table: pa.Table) -> pa.Table:
+        release()
+        out = compare(table)
+        give_back()
+        return out
+
+    def compare(table: pa.Table) -> pa.Table:
         groups: dict[tuple, list[int]] = {}
         cols = {c: table.column(c).to_pylist() for c in ("first", "second", "node", "tile", "docs", "text", "sig")}
         for r in range(table.num_rows):
@@ -409,6 +419,7 @@ def place_in_tiles(scratch: Scratch, members: DataFrame, banded: DataFrame, n_me
 def find(spark: SparkSession, docs: DataFrame, threshold: float = THRESHOLD, text: str = "text", id_col: str = "doc_id", scratch: Scratch | None = None) -> DataFrame:
     """One row per document: doc_id, text_md5 (binary), class_key, class_id, copy_id, n_links, n_linked_docs."""
     ship_package(spark)
+    small_batches(spark)
     scratch = scratch or Scratch(spark, "near-duplicates")
     whole = F.coalesce(F.col("text"), F.lit(""))
     plain = docs.select(F.col(id_col).alias("doc_id"), F.col(text).alias("text")).withColumn("text_md5", F.unhex(F.md5(whole.cast("binary"))))

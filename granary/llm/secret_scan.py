@@ -34,6 +34,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from granary.llm.held import alone, small_batches
 from granary.session import ship_package
 
 ASSIGN = re.compile(r"(password|passwd|secret|token|api_?key)[\"']?\x20*[:=]\x20*[\"']?([A-Za-z0-9+/_.=-]+)", re.I | re.A)
@@ -240,6 +241,7 @@ def _joined(spans: list[tuple[int, int, int]]) -> str:
 _FIELDS = pa.struct([("n_assign", pa.int64()), ("n_access", pa.int64()), ("n_hex", pa.int64()), ("base_sha256", pa.string()), ("spans", pa.string())])
 
 
+@alone
 def _scan_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         rows = []
@@ -250,6 +252,7 @@ def _scan_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
         yield pa.array(rows, _FIELDS)
 
 
+@alone
 def _redact_batches(batches: Iterator[pa.Array]) -> Iterator[pa.Array]:
     for batch in batches:
         out = []
@@ -276,6 +279,7 @@ def scan_secrets(spark: SparkSession, docs: DataFrame, text: str = "text", id_co
 def redact_secrets(spark: SparkSession, docs: DataFrame, text: str = "text") -> DataFrame:
     """`docs` with every span replaced by its kind in brackets; all rows and columns stay."""
     ship_package(spark)
+    small_batches(spark)
     return docs.withColumn(text, F.arrow_udf(_redact_batches, "string")(F.col(text)))
 
 
